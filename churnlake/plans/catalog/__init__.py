@@ -1,6 +1,6 @@
 """Registered queries, one module per family; importing a module registers its queries."""
 
-from . import preparation, profiling, quality  # noqa: F401
+from . import preparation, profiling, quality, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
