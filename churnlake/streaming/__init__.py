@@ -1,0 +1 @@
+"""Event-time windows and streaming flows."""
