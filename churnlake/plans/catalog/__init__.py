@@ -1,6 +1,6 @@
 """Registered queries, one module per family; importing a module registers its queries."""
 
-from . import evaluation, monitoring, preparation, profiling, quality, sampling, tables  # noqa: F401
+from . import evaluation, ingest, monitoring, preparation, profiling, quality, sampling, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers and writers for customer data."""
