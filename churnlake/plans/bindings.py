@@ -8,45 +8,50 @@ braces is another view or a table.  ``view`` returns the lazy DataFrame; ``prelu
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS: dict[str, str] = {}
 
-VIEWS["w"] = """
-WITH f AS (
-  SELECT o.o_custkey AS k,
-    CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
-    sum(l.l_quantity) AS mou,
-    CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_tax AS DECIMAL(4,2))) AS DOUBLE) AS overage,
-    CAST(count(DISTINCT o.o_orderkey) AS DOUBLE) AS recchrge,
-    CAST(sum(CASE WHEN l.l_linenumber = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS directas,
-    CAST(sum(CASE WHEN l.l_discount >= 0.08 THEN 1 ELSE 0 END) AS DOUBLE) AS roam,
-    sum(CASE WHEN year(l.l_shipdate) >= 1999 THEN l.l_quantity ELSE -l.l_quantity END) AS changem,
-    CAST(sum(CASE WHEN year(l.l_shipdate) >= 1999 THEN 1 ELSE -1 END) AS DOUBLE) AS changer,
-    CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS dropvce,
-    CAST(sum(CASE WHEN l.l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE) AS blckvce,
-    CAST(sum(CASE WHEN l.l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS unansvce,
-    CAST(sum(CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS dropblk,
-    CAST(sum(CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END) AS DOUBLE) AS custcare,
-    CAST(sum(CASE WHEN l.l_linenumber = 6 THEN 1 ELSE 0 END) AS DOUBLE) AS threeway,
-    CAST(sum(CASE WHEN l.l_linenumber = 5 THEN 1 ELSE 0 END) AS DOUBLE) AS callfwdv,
-    CAST(sum(CASE WHEN l.l_linenumber = 4 THEN 1 ELSE 0 END) AS DOUBLE) AS callwait,
-    sum(CASE WHEN l.l_linestatus = 'O' THEN l.l_quantity ELSE 0 END) AS mourec,
-    CAST(sum(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END) AS DOUBLE) AS outcalls,
-    CAST(sum(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS incalls,
-    CAST(sum(CASE WHEN month(l.l_shipdate) BETWEEN 6 AND 8 THEN 1 ELSE 0 END) AS DOUBLE) AS peakvce,
-    CAST(sum(CASE WHEN month(l.l_shipdate) BETWEEN 6 AND 8 THEN 0 ELSE 1 END) AS DOUBLE) AS opeakvce,
-    CAST((year(max(o.o_orderdate)) - year(min(o.o_orderdate))) * 12
-         + month(max(o.o_orderdate)) - month(min(o.o_orderdate)) AS DOUBLE) AS months,
-    CAST(count(DISTINCT l.l_suppkey) AS DOUBLE) AS uniqsubs,
-    CAST(count(DISTINCT CASE WHEN l.l_linestatus = 'O' THEN l.l_suppkey END) AS DOUBLE) AS actvsubs,
-    CAST(count(DISTINCT p.p_type) AS DOUBLE) AS phones,
-    CAST(count(DISTINCT p.p_brand) AS DOUBLE) AS models,
-    CAST((2002 - year(max(l.l_shipdate))) * 365 + (12 - month(max(l.l_shipdate))) * 30 AS DOUBLE) AS eqpdays,
-    CASE WHEN max(o.o_orderdate) < TIMESTAMP '2001-01-01 00:00:00' THEN 1 ELSE 0 END AS churn
-  FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey
-  GROUP BY o.o_custkey)
+# The customer view: per-customer totals, per-customer distinct counts, and the columns made of both.
+_TOTALS = """
+CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+  sum(l.l_quantity) AS mou,
+  CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_tax AS DECIMAL(4,2))) AS DOUBLE) AS overage,
+  CAST(sum(CASE WHEN l.l_linenumber = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS directas,
+  CAST(sum(CASE WHEN l.l_discount >= 0.08 THEN 1 ELSE 0 END) AS DOUBLE) AS roam,
+  sum(CASE WHEN year(l.l_shipdate) >= 1999 THEN l.l_quantity ELSE -l.l_quantity END) AS changem,
+  CAST(sum(CASE WHEN year(l.l_shipdate) >= 1999 THEN 1 ELSE -1 END) AS DOUBLE) AS changer,
+  CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS dropvce,
+  CAST(sum(CASE WHEN l.l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE) AS blckvce,
+  CAST(sum(CASE WHEN l.l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS unansvce,
+  CAST(sum(CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS dropblk,
+  CAST(sum(CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END) AS DOUBLE) AS custcare,
+  CAST(sum(CASE WHEN l.l_linenumber = 6 THEN 1 ELSE 0 END) AS DOUBLE) AS threeway,
+  CAST(sum(CASE WHEN l.l_linenumber = 5 THEN 1 ELSE 0 END) AS DOUBLE) AS callfwdv,
+  CAST(sum(CASE WHEN l.l_linenumber = 4 THEN 1 ELSE 0 END) AS DOUBLE) AS callwait,
+  sum(CASE WHEN l.l_linestatus = 'O' THEN l.l_quantity ELSE 0 END) AS mourec,
+  CAST(sum(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END) AS DOUBLE) AS outcalls,
+  CAST(sum(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS incalls,
+  CAST(sum(CASE WHEN month(l.l_shipdate) BETWEEN 6 AND 8 THEN 1 ELSE 0 END) AS DOUBLE) AS peakvce,
+  CAST(sum(CASE WHEN month(l.l_shipdate) BETWEEN 6 AND 8 THEN 0 ELSE 1 END) AS DOUBLE) AS opeakvce,
+  CAST((year(max(o.o_orderdate)) - year(min(o.o_orderdate))) * 12
+       + month(max(o.o_orderdate)) - month(min(o.o_orderdate)) AS DOUBLE) AS months,
+  CAST((2002 - year(max(l.l_shipdate))) * 365 + (12 - month(max(l.l_shipdate))) * 30 AS DOUBLE) AS eqpdays,
+  CASE WHEN max(o.o_orderdate) < TIMESTAMP '2001-01-01 00:00:00' THEN 1 ELSE 0 END AS churn
+"""
+
+_DISTINCT = {
+    "recchrge": "o.o_orderkey",
+    "uniqsubs": "l.l_suppkey",
+    "actvsubs": "CASE WHEN l.l_linestatus = 'O' THEN l.l_suppkey END",
+    "phones": "p.p_type",
+    "models": "p.p_brand",
+}
+
+_CUSTOMER = """
 SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment, c.c_nationkey AS nationkey,
   CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE f.revenue END AS revenue,
   CASE WHEN c.c_custkey % 7 = 0 THEN NULL ELSE f.mou END AS mou,
@@ -87,7 +92,34 @@ SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment, c.c_nationkey AS n
   CASE WHEN c.c_custkey % 29 = 0 THEN NULL ELSE
        CASE c.c_nationkey % 4 WHEN 0 THEN 'rural' WHEN 1 THEN 'urban' WHEN 2 THEN 'town' ELSE 'other' END END AS prizm_cluster,
   f.churn
-FROM {customer} c JOIN f ON f.k = c.c_custkey
+"""
+
+_JOINED = (
+    "{orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey"
+)
+
+VIEWS["w"] = (
+    f"WITH f AS (SELECT o.o_custkey AS k, {_TOTALS.strip()}, "
+    + ", ".join(f"CAST(count(DISTINCT {e}) AS DOUBLE) AS {n}" for n, e in _DISTINCT.items())
+    + f" FROM {_JOINED} GROUP BY o.o_custkey)\n{_CUSTOMER.strip()}\nFROM {{customer}} c JOIN f ON f.k = c.c_custkey"
+)
+
+# The same view for Spark.  Several distinct counts beside the totals would make one aggregate copy
+# every wide row once per count; here only narrow (kind, value) rows are copied, and they are grouped
+# by customer and value first, so a customer with many rows is spread over all tasks.
+_COUNTS = f"""
+SELECT k, CAST(count_if(kind = 0) AS DOUBLE) AS recchrge, CAST(count_if(kind = 1) AS DOUBLE) AS uniqsubs,
+  CAST(count_if(kind = 1 AND open) AS DOUBLE) AS actvsubs, CAST(count_if(kind = 2) AS DOUBLE) AS phones,
+  CAST(count_if(kind = 3) AS DOUBLE) AS models
+FROM (
+  SELECT k, kind, num, txt, bool_or(open) AS open
+  FROM (SELECT o.o_custkey AS k, l.l_linestatus = 'O' AS open,
+      stack(4, 0, o.o_orderkey, CAST(NULL AS STRING), 1, l.l_suppkey, CAST(NULL AS STRING),
+        2, CAST(NULL AS BIGINT), p.p_type, 3, CAST(NULL AS BIGINT), p.p_brand) AS (kind, num, txt)
+    FROM {_JOINED})
+  WHERE num IS NOT NULL OR txt IS NOT NULL
+  GROUP BY k, kind, num, txt)
+GROUP BY k
 """
 
 VIEWS["raw"] = """
@@ -156,12 +188,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """The customer view, or the named columns of it.
+
+    The distinct counts are joined in only when a wanted column needs them; all else is left to
+    column pruning.
+    """
+    names = None if columns is None else list(columns)
+    with_counts = names is None or not set(_DISTINCT).isdisjoint(names)
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "part")}
+    f = spark.sql(f"SELECT o.o_custkey AS k, {_TOTALS.strip()} FROM {_JOINED} GROUP BY o.o_custkey", **tables)
+    if with_counts:
+        f = f.join(spark.sql(_COUNTS, **tables), "k")
+    else:
+        f = f.withColumns({n: F.lit(None).cast("double") for n in _DISTINCT})
+    customer = table(spark, sf_dir, "customer")
+    out = spark.sql(f"{_CUSTOMER.strip()} FROM {{customer}} c JOIN {{f}} f ON f.k = c.c_custkey", customer=customer, f=f)
+    return out if names is None else out.select(*names)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a plain table when no view has that name."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
+    if name == "w":
+        return wide(spark, sf_dir)
     text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in set(_NAME.findall(text))})
+    inputs = {n: view(spark, sf_dir, n) for n in set(_NAME.findall(text)) if n != "w"}
+    if "{w}" in text:
+        inputs["w"] = wide(spark, sf_dir, _W_USED[name])
+    return spark.sql(text, **inputs)
+
+
+# Customer columns that the views over the customer view read.
+_W_USED = {"raw": ["customer_id", "months", "mou"], "scores": ["customer_id", "churn"]}
 
 
 def prelude(*names: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import metrics
 from ...functions.scalars import r6 as _r6
 from ...operators import evaluate as ev
-from ..bindings import prelude, view
+from ..bindings import prelude, view, wide
 from .base import query, r6
 
 _SCORES = prelude("scores")
@@ -70,7 +70,7 @@ def _(spark, sf):
 def _(spark, sf):
     truth = F.col("nationkey") % 4
     said = F.when(F.col("prizm_cluster").isNull(), 0).when(F.col("mou").isNull(), 1).otherwise(truth)
-    df = view(spark, sf, "w").select(truth.alias("a"), said.alias("b"))
+    df = wide(spark, sf, ["nationkey", "prizm_cluster", "mou"]).select(truth.alias("a"), said.alias("b"))
     return _rounded(ev.classification_report(df, "a", F.col("b")), ["precision", "recall", "f1"])
 
 
@@ -153,7 +153,7 @@ _RESULTS = f"""c AS (SELECT CAST(w.nationkey AS VARCHAR) || '-' || w.segment AS
 
 
 def _results(spark, sf):
-    w = view(spark, sf, "w").select(
+    w = wide(spark, sf, ["customer_id", "nationkey", "segment"]).select(
         "customer_id", F.concat_ws("-", F.col("nationkey").cast("string"), "segment").alias("model")
     )
     scored = view(spark, sf, "scores").join(w, "customer_id")

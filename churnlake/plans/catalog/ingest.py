@@ -13,10 +13,10 @@ from ...session import scratch_path
 from ...sources import readers as rd
 from ...sources import writers as wr
 from .. import preprocess as pp
-from ..bindings import view
+from ..bindings import view, wide
 from . import evaluation, monitoring
 from .base import listed, query, r6
-from .shared import CATEGORIES, FILLED_SQL, NUMBERS, W_SQL, derived_sql, filled, wide
+from .shared import CATEGORIES, FILLED_SQL, NUMBERS, W_SQL, derived_sql, filled, landed
 
 
 @query("scan_csv", f"{W_SQL} SELECT * FROM w")
@@ -33,7 +33,7 @@ def _(spark, sf):
     CASE WHEN churn = 1 THEN 'train' ELSE 'test' END AS dataset FROM w""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "revenue", "months", "churn")
+    df = landed(spark, sf, ["customer_id", "revenue", "months", "churn"])
     train, test = scratch_path(spark, "train"), scratch_path(spark, "test")
     df.where("churn = 1").write.option("header", True).csv(train)
     unlabelled = df.where("churn = 0").drop("churn")
@@ -46,7 +46,7 @@ def _(spark, sf):
     f"{W_SQL} SELECT customer_id, segment, 'csv' AS data_source FROM w ORDER BY customer_id LIMIT 100",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "segment")
+    df = wide(spark, sf, ["customer_id", "segment"])
     missing, path = scratch_path(spark, "missing"), scratch_path(spark, "fallback")
     df.write.option("header", True).csv(path)
     sources = [
@@ -65,7 +65,7 @@ _SAMPLE = ["months", "recchrge"]
   UNION ALL SELECT NULL, CASE WHEN segment = 'BUILDING' THEN 0 ELSE churn END, months, recchrge, 'flat' FROM w""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "segment", "churn", *_SAMPLE)
+    df = landed(spark, sf, ["customer_id", "segment", "churn", *_SAMPLE])
     nested, flat = scratch_path(spark, "nested"), scratch_path(spark, "flat")
     df.select(
         F.struct(*_SAMPLE).alias("features"),
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("processed_write", f"{W_SQL} SELECT 'v2' AS version, count(*) AS row_count, 14 AS feature_count FROM w")
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf)
     params = pp.fit_preprocess(df, NUMBERS, CATEGORIES)
     root = scratch_path(spark, "processed")
     wr.publish(pp.run_preprocess(df, params).where("churn = 1"), root, "v1")

@@ -16,9 +16,9 @@ from ...session import scratch_path, stage
 from .. import preprocess as pp
 from .. import retrain as rt
 from .. import scoring as sc
-from ..bindings import prelude, view
+from ..bindings import prelude, view, wide
 from .base import query, r6
-from .shared import CATEGORIES, FLAGS, NUMBERS, W_SQL, wide
+from .shared import CATEGORIES, FLAGS, NUMBERS, W_SQL, landed
 
 FOREST = {"numTrees": [20], "maxDepth": [5, 8], "featureSubsetStrategy": ["sqrt"], "minInstancesPerNode": [1]}
 BOOST = {**md.BOOST_SPACE, "maxIter": [5, 10], "maxDepth": [3, 5]}
@@ -27,9 +27,15 @@ NETWORK = {**md.NETWORK_SPACE, "units": [32], "blockSize": [64, 128]}
 
 def table(spark, sf):
     """The preprocessed training table, written once, and its parameters."""
-    df = wide(spark, sf)
+    data, params, _ = prepared(spark, sf)
+    return data, params
+
+
+def prepared(spark, sf):
+    """Training table, parameters and the customer table they come from."""
+    df = landed(spark, sf)
     params = pp.fit_preprocess(df, NUMBERS, CATEGORIES)
-    return stage(pp.run_preprocess(df, params, keep=["customer_id"]), "features"), params
+    return stage(pp.run_preprocess(df, params, keep=["customer_id"]), "features"), params, df
 
 
 def _summary(trained):
@@ -69,8 +75,7 @@ _RAW_FIELDS = [*NUMBERS, *FLAGS, "prizm_cluster", "segment"]
 
 @query("score_batch")
 def _(spark, sf):
-    data, params = table(spark, sf)
-    df = wide(spark, sf)
+    data, params, df = prepared(spark, sf)
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*_RAW_FIELDS).dtypes)
     known = F.when(F.col("nationkey") % 4 == 0, F.col("churn")).alias("known")
     batch = df.select("customer_id", known, pack(_RAW_FIELDS).alias("features"))
@@ -100,7 +105,7 @@ def _(spark, sf):
     string_agg(churn || '=' || n, ',' ORDER BY churn) AS class_distribution FROM c""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("months", "revenue", "children", "churn")
+    df = wide(spark, sf, ["months", "revenue", "children", "churn"])
     record = rg.training_schema_record(df, "random_forest", "v1", "churn")
     columns = F.transform("required_columns", lambda c: F.concat_ws(":", c, F.element_at("dtypes", c)))
     classes = F.transform(F.map_entries("class_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"]))

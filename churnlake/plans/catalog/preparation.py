@@ -10,7 +10,7 @@ from ...operators import features as ft
 from ...operators import normalize as nz
 from ...session import scratch_path
 from .. import preprocess as pp
-from ..bindings import prelude, view
+from ..bindings import prelude, view, wide
 from .base import listed, query, r6
 from .shared import (
     CATEGORIES,
@@ -24,8 +24,8 @@ from .shared import (
     derived_sql,
     filled,
     filled_sql,
+    landed,
     training_part,
-    wide,
 )
 
 RAW_SQL = prelude("raw")
@@ -126,7 +126,7 @@ def _(spark, sf):
     marital = (
         F.when(F.col("marryyes") == 1, "married").when(F.col("customer_id") % 7 == 0, "unknown").otherwise("unmarried")
     )
-    choices = wide(spark, sf).select(
+    choices = wide(spark, sf, ["customer_id", "prizm_cluster", "nationkey", "marryyes"]).select(
         "customer_id",
         "prizm_cluster",
         F.when(F.col("nationkey") % 9 < 7, occupation).alias("occupation"),
@@ -140,7 +140,7 @@ def _(spark, sf):
     f"{W_SQL} SELECT customer_id, 'csv' AS source, 'BATCH_20240101_000000' AS batch_id, true AS stamped FROM w",
 )
 def _(spark, sf):
-    stamped = nz.stamp_lineage(wide(spark, sf).select("customer_id"), "csv", "BATCH_20240101_000000")
+    stamped = nz.stamp_lineage(wide(spark, sf, ["customer_id"]), "csv", "BATCH_20240101_000000")
     return stamped.withColumn("stamped", F.col("timestamp").isNotNull()).drop("timestamp")
 
 
@@ -175,7 +175,7 @@ _ALIGNED = ["months", "webcap", "mou", "incmiss", "revenue"]
     f"{W_SQL} SELECT customer_id, months, CAST(0 AS DOUBLE) AS webcap, mou, CAST(0 AS DOUBLE) AS incmiss, revenue FROM w",
 )
 def _(spark, sf):
-    return nz.align_features(wide(spark, sf), _ALIGNED, keep=["customer_id"])
+    return nz.align_features(wide(spark, sf, ["customer_id", "months", "mou", "revenue"]), _ALIGNED, keep=["customer_id"])
 
 
 _PACKED = ["recchrge", "months", "age2", "children", "prizm_cluster"]
@@ -187,7 +187,7 @@ _PACKED = ["recchrge", "months", "age2", "children", "prizm_cluster"]
     "AS VARCHAR) AS features FROM w",
 )
 def _(spark, sf):
-    return wide(spark, sf).select("customer_id", scalars.pack(_PACKED).alias("features"))
+    return wide(spark, sf, ["customer_id", *_PACKED]).select("customer_id", scalars.pack(_PACKED).alias("features"))
 
 
 @query(
@@ -225,7 +225,7 @@ def _(spark, sf):
     {r6("coalesce(w.age2, a.age2)")} AS age2 FROM w CROSS JOIN m CROSS JOIN a""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "segment", *GAPS)
+    df = landed(spark, sf, ["customer_id", "segment", *GAPS])
     stored = ft.fit_median_mode(training_part(df), GAPS[:3], [])
     return _rounded(ft.impute_production(df, stored, ["age2"]).drop("segment"), GAPS)
 
@@ -238,7 +238,7 @@ def _(spark, sf):
     coalesce(w.prizm_cluster, m.prizm_cluster) AS prizm_cluster) FROM w CROSS JOIN m""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).drop("customer_id", "nationkey")
+    df = landed(spark, sf).drop("customer_id", "nationkey")
     return _rounded(ft.impute(df, ft.fit_mean_mode(df)), GAPS)
 
 
@@ -264,7 +264,7 @@ def _group(group: str, names: list[str]) -> None:
     )
     def _(spark, sf):
         sources = sorted({s for n in names for s in formulas.REGISTRY[n].sources})
-        df = wide(spark, sf).select("customer_id", *sources)
+        df = landed(spark, sf, ["customer_id", *sources])
         full = ft.impute(df, ft.fit_median_mode(df, [s for s in sources if s in GAPS], []))
         return _rounded(ft.derive(full, names).select("customer_id", *names), names)
 
@@ -285,7 +285,7 @@ _LIVE = [n for n in fields.DERIVED if not set(formulas.REGISTRY[n].sources) & se
     + " FROM w",
 )
 def _(spark, sf):
-    live = wide(spark, sf).drop("eqpdays")
+    live = landed(spark, sf).drop("eqpdays")
     out = ft.derive_production(live, fields.DERIVED)
     names = [c for c in out.columns if c in fields.DERIVED]
     return _rounded(out.select("customer_id", *names), names)
@@ -306,7 +306,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     columns = ["segment", "prizm_cluster", "nationkey"]
-    df = wide(spark, sf).select("customer_id", *columns)
+    df = landed(spark, sf, ["customer_id", *columns])
     df = ft.impute(df, ft.fit_median_mode(df, [], ["prizm_cluster"]))
     return ft.encode_labels(df, ft.fit_labels(df, columns))
 
@@ -332,7 +332,7 @@ def _(spark, sf):
   FROM w LEFT JOIN s ON s.v = segment LEFT JOIN p ON p.v = prizm_cluster""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "segment", "prizm_cluster")
+    df = landed(spark, sf, ["customer_id", "segment", "prizm_cluster"])
     return ft.encode_labels(df, ft.fit_labels(training_part(df), ["segment", "prizm_cluster"]))
 
 
@@ -357,7 +357,7 @@ def _(spark, sf):
     f"SELECT customer_id, {listed(NUMBERS, r6('({0} - {0}_m) / {0}_s') + ' AS {0}')} FROM w CROSS JOIN st",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("customer_id", "segment", *NUMBERS)
+    df = landed(spark, sf, ["customer_id", "segment", *NUMBERS])
     scaled = ft.scale(df, ft.fit_scale(training_part(df), NUMBERS))
     return _rounded(scaled.drop("segment"), NUMBERS)
 
@@ -376,21 +376,21 @@ _APPLY_SQL = f"""{W_SQL}, {TRAINING_SQL}, {filled_sql("train", "ti", "train")},
 
 @query("preprocess_fit", f"{_FIT_SQL}, churn FROM d CROSS JOIN st")
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf)
     params = pp.fit_preprocess(df, NUMBERS, CATEGORIES)
     return _rounded(pp.run_preprocess(df, params, keep=["customer_id"]), params.features)
 
 
 @query("preprocess_apply", _APPLY_SQL)
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf)
     params = pp.fit_preprocess(training_part(df), NUMBERS, CATEGORIES)
     return _rounded(pp.apply_preprocess(df, params, keep=["customer_id"]), params.features)
 
 
 @query("artifacts_roundtrip", f"{_FIT_SQL} FROM d CROSS JOIN st")
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf)
     path = scratch_path(spark, "params")
     pp.save_params(pp.fit_preprocess(df, NUMBERS, CATEGORIES), spark, path)
     params = pp.load_params(spark, path)

@@ -8,9 +8,9 @@ from ...functions import formulas
 from ...functions.scalars import r6 as _r6
 from ...operators import features as ft
 from ...operators import profile as pf
-from ..bindings import prelude, view
+from ..bindings import prelude, view, wide
 from .base import query, r6
-from .shared import CATEGORIES, FLAGS, FORMULA_SQL, NUMBERS, TEXTS, W_SQL, filled_sql, wide
+from .shared import CATEGORIES, FLAGS, FORMULA_SQL, NUMBERS, TEXTS, W_SQL, filled_sql, landed
 
 _NEEDED = ["months", "outcalls", "incalls"]
 
@@ -22,7 +22,7 @@ _NEEDED = ["months", "outcalls", "incalls"]
     {r6(f"avg({FORMULA_SQL['engagement_index']})")} AS mean_engagement_index FROM wi GROUP BY segment""",
 )
 def _(spark, sf):
-    df = wide(spark, sf).select("segment", "churn", *formulas.REGISTRY["engagement_index"].sources)
+    df = wide(spark, sf, ["segment", "churn", *formulas.REGISTRY["engagement_index"].sources])
     df = ft.impute(df, ft.fit_median_mode(df, _NEEDED, []))
     out = pf.churn_by_segment(ft.derive(df, ["engagement_index"]), "segment", "churn", "engagement_index")
     return out.withColumns({c: _r6(F.col(c)) for c in ("churn_rate", "mean_engagement_index")})
@@ -35,7 +35,7 @@ def _(spark, sf):
     {r6("(SELECT min(n) FROM c) * 1e0 / total")} AS min_share FROM c CROSS JOIN t""",
 )
 def _(spark, sf):
-    out = pf.class_balance(wide(spark, sf), "churn")
+    out = pf.class_balance(wide(spark, sf, ["churn"]), "churn")
     return out.withColumns({c: _r6(F.col(c)) for c in ("share", "min_share")})
 
 
@@ -49,7 +49,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) A
   SELECT column_name, value, n, {r6("n * 1e0 / total")} AS share FROM c JOIN t USING (column_name)""",
 )
 def _(spark, sf):
-    return pf.category_profile(wide(spark, sf), CATEGORIES).withColumn("share", _r6(F.col("share")))
+    return pf.category_profile(wide(spark, sf, CATEGORIES), CATEGORIES).withColumn("share", _r6(F.col("share")))
 
 
 _TYPED = ["nationkey", *NUMBERS, *FLAGS, *TEXTS]
@@ -83,7 +83,7 @@ _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
     ),
 )
 def _(spark, sf):
-    out = pf.correlation_pairs(wide(spark, sf), _PAIRED)
+    out = pf.correlation_pairs(wide(spark, sf, _PAIRED), _PAIRED)
     return out.withColumns(
         {"covariance": F.round("covariance", 2) + F.lit(0.0), "correlation": _r6(F.col("correlation"))}
     )
@@ -136,7 +136,7 @@ _COMPARED = ["recchrge", "months", "eqpdays"]
     ),
 )
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf, ["churn", "segment", "prizm_cluster", "nationkey", *_COMPARED])
     out = pf.compare_datasets(
         df.where("nationkey < 12"), df.where("nationkey >= 12"), "churn", _COMPARED, ["segment", "prizm_cluster", "nationkey"]
     )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ...functions import fields
 from ...functions.scalars import r6 as _r6
 from ...operators import quality as ql
-from ..bindings import view
+from ..bindings import view, wide
 from .base import query, r6
-from .shared import FLAGS, NUMBERS, W_SQL, wide
+from .shared import FLAGS, NUMBERS, W_SQL, landed
 
 # Columns of the contract that the bound table has, plus one declared but absent.
 _CONTRACT = {
@@ -64,7 +64,7 @@ def _(spark, sf):
     max(n) * 1e0 / sum(n) > 0.95 AS imbalanced FROM c""",
 )
 def _(spark, sf):
-    return ql.check_target(wide(spark, sf)).withColumn("max_share", _r6(F.col("max_share")))
+    return ql.check_target(wide(spark, sf, ["churn"])).withColumn("max_share", _r6(F.col("max_share")))
 
 
 @query("contract_report", f"{W_SQL} {_CONTRACT_SQL}")
@@ -81,7 +81,7 @@ def _(spark, sf):
     CASE WHEN issues IS NULL THEN 'Validated' ELSE 'Failed' END AS stage FROM i""",
 )
 def _(spark, sf):
-    record = ql.validation_record(wide(spark, sf), _CONTRACT, "csv", "random_forest", stamp=False)
+    record = ql.validation_record(landed(spark, sf), _CONTRACT, "csv", "random_forest", stamp=False)
     return record.withColumn("issues", F.concat_ws("; ", "issues"))
 
 
@@ -118,7 +118,7 @@ def _(spark, sf):
   FROM e""",
 )
 def _(spark, sf):
-    valid, rejected = ql.quarantine_split(wide(spark, sf))
+    valid, rejected = ql.quarantine_split(landed(spark, sf))
     data = ["customer_id", "revenue", "age1", "income"]
     return valid.select(*data, F.lit("valid").alias("side"), F.lit("").alias("errors")).unionByName(
         rejected.select(*data, F.lit("quarantine").alias("side"), F.concat_ws(",", "errors").alias("errors"))
@@ -149,7 +149,7 @@ _GATE_COLUMNS = [*NUMBERS, *FLAGS]
   UNION ALL SELECT 'features_numeric', true UNION ALL SELECT 'two_classes', classes FROM g""",
 )
 def _(spark, sf):
-    return ql.training_readiness(wide(spark, sf).select(*_GATE_COLUMNS, "churn"))
+    return ql.training_readiness(wide(spark, sf, [*_GATE_COLUMNS, "churn"]))
 
 
 @query(
@@ -161,7 +161,7 @@ def _(spark, sf):
   UNION ALL SELECT 'class_balance', least * 1e0 / n > 0.1 FROM g""",
 )
 def _(spark, sf):
-    return ql.quality_gate(wide(spark, sf).select(*_GATE_COLUMNS, "churn"))
+    return ql.quality_gate(wide(spark, sf, [*_GATE_COLUMNS, "churn"]))
 
 
 @query(
@@ -173,7 +173,7 @@ def _(spark, sf):
   UNION ALL SELECT 'balanced', least * 1e0 / n >= 0.1 FROM g""",
 )
 def _(spark, sf):
-    return ql.declared_limits(wide(spark, sf).select(*_GATE_COLUMNS, "churn"))
+    return ql.declared_limits(wide(spark, sf, [*_GATE_COLUMNS, "churn"]))
 
 
 # Profiles
@@ -212,7 +212,7 @@ _SUMMARY = {
     ),
 )
 def _(spark, sf):
-    out = ql.describe_numeric(wide(spark, sf), NUMBERS)
+    out = ql.describe_numeric(landed(spark, sf, NUMBERS), NUMBERS)
     return out.withColumns({c: _r6(F.col(c)) for c in _SUMMARY if c != "count"})
 
 

@@ -9,7 +9,7 @@ from ...operators import neighbors as nb
 from ...operators import sampling as sp
 from ..bindings import prelude, view
 from .base import query, r6
-from .shared import W_SQL, wide
+from .shared import W_SQL, landed
 
 _SCORES = prelude("scores")
 
@@ -94,10 +94,10 @@ _SMOTE = f"""{W_SQL}, z AS (SELECT churn, count(*) AS n FROM w GROUP BY churn),
 
 @query("smote", _SMOTE)
 def _(spark, sf):
-    out = sp.smote(wide(spark, sf), "churn", "customer_id", _FEATURES)
+    out = sp.smote(landed(spark, sf, ["customer_id", "churn", *_FEATURES]), "churn", "customer_id", _FEATURES)
     return out.withColumns({c: _r6(F.col(c)) for c in _FEATURES})
 
 
 @query("smote_tomek")
 def _(spark, sf):
-    return sp.smote_tomek(wide(spark, sf), "churn", "customer_id", _FEATURES)
+    return sp.smote_tomek(landed(spark, sf, ["customer_id", "churn", *_FEATURES]), "churn", "customer_id", _FEATURES)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ...functions import fields
 from ...operators import features as ft
-from ..bindings import prelude, view
+from ...session import stage
+from ..bindings import prelude, wide
 
 # The columns of the bound customer table, by role.
 GAPS = ["revenue", "mou", "overage", "age2"]
@@ -43,13 +44,14 @@ _MODE = (
 )
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "w")
+def landed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The customer view written once, for operators that pass over it several times."""
+    return stage(wide(spark, sf_dir, columns), "customers")
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer table imputed with its own medians and modes."""
-    df = wide(spark, sf_dir)
+    df = landed(spark, sf_dir)
     return ft.impute(df, ft.fit_median_mode(df, NUMBERS, CATEGORIES))
 
 

@@ -14,12 +14,12 @@ from ...operators import models as md
 from ...session import scratch_path
 from ...streaming import flows as fl
 from ...streaming import windows as wn
-from ..bindings import table, view
+from ..bindings import table, view, wide
 from .base import query, r6
 from .modelling import table as feature_table
 from .monitoring import WINDOWED_SQL
 from .quality import _ERRORS_SQL
-from .shared import W_SQL, wide
+from .shared import W_SQL
 
 _CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 

@@ -8,7 +8,7 @@ from ...operators import customer360 as c360
 from ...operators import store as st
 from ..bindings import prelude, view
 from .base import query
-from .shared import FLAGS, NUMBERS, W_SQL, wide
+from .shared import FLAGS, NUMBERS, W_SQL, landed
 
 _STORE = prelude("store")
 _LOGS = prelude("store", "logs")
@@ -259,6 +259,6 @@ def _c360_sql() -> str:
 
 @query("customer_360", _c360_sql())
 def _(spark, sf):
-    df = wide(spark, sf)
+    df = landed(spark, sf)
     satellites = {name: spark.sql(_satellite_sql(name, columns), w=df) for name, columns in _SPLIT.items()}
     return c360.customer_360(df.select("customer_id", "segment"), satellites)
