@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles, is_numeric
-from .ranking import running_totals
+from .ranking import beside, running_totals
 
 FLOOR = 1e-4
 FEATURE_LIMIT = 0.2
@@ -141,8 +141,7 @@ def summary(features: DataFrame, target: DataFrame, shift: DataFrame) -> DataFra
     feature_drift = F.col("drifted_features") > 0
     status = F.when(F.col("target_drift"), "CRITICAL").when(feature_drift, "WARNING").otherwise("STABLE")
     return (
-        f.join(t, F.lit(True))
-        .join(s, F.lit(True))
+        beside(f, t, s)
         .select(
             status.alias("status"),
             "target_drift",

@@ -8,23 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import is_numeric, value_counts
+from .ranking import beside
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """``(value, n, share)`` of the non-null values of a column.
 
-    The total is one row that joins to every count; no window runs over the ungrouped result.
+    The total is a scalar subquery over the counts; no window runs over the ungrouped result.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(total, F.lit(True)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("value", "n", (F.col("n") / total).alias("share"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Counts and shares per class, with the smallest share."""
     balance = shares(df, target)
-    least = balance.agg(F.min("share").alias("min_share"))
-    return balance.join(least, F.lit(True))
+    return balance.withColumn("min_share", balance.agg(F.min("share")).scalar())
 
 
 def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,16 +51,34 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return names.join(found, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
-def feature_types(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """``(column_name, kind, n_distinct)``: two-valued numbers are binary, other numbers continuous."""
+def feature_types(df: DataFrame, target: str, exclude: Sequence[str] = (), approximate: bool = False) -> DataFrame:
+    """``(column_name, kind, n_distinct)``: two-valued numbers are binary, other numbers continuous.
+
+    ``approximate`` estimates the counts, which saves the shuffle of all distinct values; the kinds
+    stay exact, as a number is two-valued when none differs from both its minimum and its maximum.
+    """
     names = [c for c in df.columns if c != target and c not in exclude]
-    numeric = [c for c, t in df.dtypes if is_numeric(t)]
-    kind = (
-        F.when(~F.col("column").isin(*numeric), "categorical")
-        .when(F.col("n_distinct") == 2, "binary")
-        .otherwise("continuous")
-    )
-    return distinct_counts(df, names).select(F.col("column").alias("column_name"), kind.alias("kind"), "n_distinct")
+    numeric = [c for c, t in df.dtypes if is_numeric(t) and c in names]
+    counts = distinct_counts(df, names, approximate)
+    two = F.col("n_distinct") == 2
+    if approximate:
+        two = F.col("column").isin(*_two_valued(df, numeric))
+    kind = F.when(~F.col("column").isin(*numeric), "categorical").when(two, "binary").otherwise("continuous")
+    return counts.select(F.col("column").alias("column_name"), kind.alias("kind"), "n_distinct")
+
+
+def _two_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns with exactly two distinct values: one aggregate for the ends, one for the rest."""
+    if not columns:
+        return []
+    ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
+    open_ends = [c for c in columns if ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+    if not open_ends:
+        return []
+    between = df.agg(
+        *[F.count(F.when(~F.col(c).isin(ends[f"lo_{c}"], ends[f"hi_{c}"]), 1)).alias(c) for c in open_ends]
+    ).first()
+    return [c for c in open_ends if between[c] == 0]
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -124,7 +142,7 @@ def compare_datasets(
                 aggregates.append(F.corr(continuous[0], continuous[1]).alias(f"{tag}corr"))
             return df.agg(*aggregates)
 
-        both = moments(original, "a").join(moments(other, "b"), F.lit(True))
+        both = beside(moments(original, "a"), moments(other, "b"))
         rows = []
         for i, c in enumerate(continuous):
             gap = F.abs(F.col(f"a{i}") - F.col(f"b{i}"))

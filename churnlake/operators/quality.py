@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import fields, rules
 from .quantiles import exact_quantiles, is_numeric
+from .ranking import beside
 
 _INTEGER = ("bigint", "int", "smallint", "tinyint")
 
@@ -119,8 +120,7 @@ def validation_record(
     total = df.agg(F.count(F.lit(1)).alias("row_count"))
     issue = F.concat_ws(": ", F.concat_ws(".", "column_name", "rule"), F.col("violations").cast("string"))
     found = report.where(F.col("violations") > 0).agg(F.sort_array(F.collect_list(issue)).alias("issues"))
-    # Both sides are single aggregate rows.
-    record = total.join(found, F.lit(True)).select(
+    record = beside(total, found).select(
         F.lit(source).alias("source"),
         F.lit(model).alias("model"),
         "row_count",

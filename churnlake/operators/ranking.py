@@ -47,29 +47,44 @@ def running_totals(
 
 
 def spread_rank(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int | str, name: str = "rank", digits: int = 3
+    df: DataFrame,
+    keys: Sequence[str],
+    ids: Sequence[str],
+    seed: int | str,
+    name: str = "rank",
+    size: str | None = None,
+    digits: int = 4,
 ) -> DataFrame:
     """Add the 1-based rank of each row within ``keys`` in the order of its seeded MD5 key.
 
     Equal to ``row_number() over (partition by keys order by md5(seed|ids), ids)``.  The leading hex
     ``digits`` cut each key into ``16 ** digits`` even buckets; each bucket is ranked on its own and
-    shifted by the sizes of the buckets before it.
+    shifted by the sizes of the buckets before it.  ``size`` names a column for the number of rows in
+    the group, which the bucket sizes give for free.  ``df`` is read twice; stage it if it is costly.
     """
     key = spread(seed, *[F.col(i) for i in ids])
     bucket = F.substring("_key", 1, digits)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_BEFORE)
+    whole = Window.partitionBy(*keys)
     sizes = (
         df.select(*keys, key.alias("_key"))
         .groupBy(*keys, bucket.alias("_bucket"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *keys,
+            "_bucket",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_n").over(whole).alias("_size"),
+        )
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_key", *ids)
     ranked = (
         df.withColumn("_key", key).withColumn("_bucket", bucket).withColumn("_within", F.row_number().over(inside))
     )
     return join_on_same(ranked, sizes, [*keys, "_bucket"]).select(
-        *df.columns, (F.col("_within") + F.col("_before")).cast("bigint").alias(name)
+        *df.columns,
+        (F.col("_within") + F.col("_before")).cast("bigint").alias(name),
+        *([F.col("_size").alias(size)] if size else []),
     )
 
 
@@ -80,3 +95,14 @@ def join_on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The columns of single-row frames (ungrouped aggregates) next to those of ``first``.
+
+    Every frame but the first has exactly one row, so nothing is multiplied.
+    """
+    out = first
+    for other in others:
+        out = out.join(other, F.lit(True))
+    return out

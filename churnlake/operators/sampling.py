@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fraction_of, spread
+from ..session import stage
 from .neighbors import knn
-from .ranking import join_on_same, spread_rank
+from .ranking import spread_rank
 
 
 def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], k: int, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -30,7 +31,7 @@ def stratified_split(
     df: DataFrame, label: str, ids: Sequence[str], test_share: float = 0.2, seed: int = 42, name: str = "is_test"
 ) -> DataFrame:
     """Mark ``round(test_share * n)`` rows of every class as test rows."""
-    ranked = join_on_same(spread_rank(df, [label], ids, seed, "_rank"), class_sizes(df, label), [label])
+    ranked = spread_rank(df, [label], ids, seed, "_rank", size="_size")
     quota = F.floor(F.col("_size") * F.lit(test_share) + F.lit(0.5))
     return ranked.select(*df.columns, (F.col("_rank") <= quota).alias(name))
 
@@ -154,8 +155,6 @@ def smote_tomek(
     df: DataFrame, label: str, row_id: str, features: Sequence[str], k: int = 5, seed: int = 42
 ) -> DataFrame:
     """Oversample to parity, then remove both ends of every Tomek link."""
-    from ..session import stage
-
     balanced = stage(smote(df, label, row_id, features, k, seed), "smote")
     points = balanced.select(row_id, label, F.array(*features).alias("_x"))
     return remove_links(balanced, tomek_links(points, label, row_id, "_x"), row_id)

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import beside
+
 KEY = ("customer_id", "ts")
 
 
@@ -85,7 +87,7 @@ def insert_counts(added: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row ``processed, saved, failed``."""
     saved = added.agg(F.count(F.lit(1)).alias("saved"))
     total = incoming.agg(F.count(F.lit(1)).alias("processed"))
-    return total.join(saved, F.lit(True)).select("processed", "saved", (F.col("processed") - F.col("saved")).alias("failed"))
+    return beside(total, saved).select("processed", "saved", (F.col("processed") - F.col("saved")).alias("failed"))
 
 
 def log_upsert(logs: DataFrame, entries: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
@@ -153,7 +155,7 @@ def batch_details(logs: DataFrame, store: DataFrame, batch_id: str) -> tuple[Dat
     """The log row with its record count, and the batch's records."""
     records = lookup(store, "batch_id", batch_id)
     count = records.agg(F.count(F.lit(1)).alias("records"))
-    return lookup(logs, "batch_id", batch_id).join(count, F.lit(True)), records
+    return beside(lookup(logs, "batch_id", batch_id), count), records
 
 
 # Totals
@@ -165,7 +167,7 @@ def ingest_totals(store: DataFrame, logs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_batches"),
         *[F.sum(f"records_{x}").alias(f"total_{x}") for x in ("processed", "saved", "failed")],
     )
-    return rows.join(batches, F.lit(True))
+    return beside(rows, batches)
 
 
 def by_source(store: DataFrame) -> DataFrame:
@@ -235,4 +237,4 @@ def list_jobs(jobs: DataFrame, status: str | None, limit: int) -> DataFrame:
     matches = F.lit(True) if status is None else F.col("status") == status
     counts = jobs.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(matches, 1)).alias("filtered"))
     page = jobs.where(matches).orderBy(F.col("started_at").desc(), "job_id").limit(limit)
-    return page.join(counts, F.lit(True))
+    return beside(page, counts)

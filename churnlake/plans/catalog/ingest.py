@@ -9,6 +9,7 @@ from ...functions import fields
 from ...functions.scalars import r6 as _r6
 from ...operators import evaluate as ev
 from ...operators import features as ft
+from ...operators.ranking import beside
 from ...session import scratch_path
 from ...sources import readers as rd
 from ...sources import writers as wr
@@ -121,7 +122,7 @@ def _(spark, sf):
     wr.publish(pp.run_preprocess(df, params), root, "v2")
     table = wr.current(spark, root)
     newest = wr.versions(spark, root).where("version = 'v2'").select("version", "feature_count")
-    return newest.join(table.agg(F.count(F.lit(1)).alias("row_count")), F.lit(True))
+    return beside(newest, table.agg(F.count(F.lit(1)).alias("row_count")))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import customer360 as c360
 from ...operators import store as st
+from ...operators.ranking import beside
 from ..bindings import prelude, view
 from .base import query
 from .shared import FLAGS, NUMBERS, W_SQL, landed
@@ -98,7 +99,7 @@ def _(spark, sf):
         .unionByName(st.delete_batch(logs, batch).select(F.lit("logs").alias("kind"), "batch_id"))
     )
     remaining = left.groupBy("kind", "batch_id").agg(F.count(F.lit(1)).alias("remaining"))
-    return remaining.join(st.deleted_count(store, batch), F.lit(True))
+    return beside(remaining, st.deleted_count(store, batch))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fingerprint
-from ..operators.ranking import spread_rank
+from ..operators.ranking import beside, spread_rank
 from ..operators.sampling import stratified_split
 
 
@@ -112,7 +112,7 @@ def retrain_report(results: DataFrame, evaluation: DataFrame, run_id: str, secon
     """
     listed = results.agg(F.sort_array(F.collect_list(F.struct("model", "status", "f1"))).alias("results"))
     nested = evaluation.select(F.struct(*evaluation.columns).alias("evaluation"))
-    return listed.join(nested, F.lit(True)).select(
+    return beside(listed, nested).select(
         F.lit(run_id).alias("retraining_id"),
         F.lit(float(seconds)).alias("duration_seconds"),
         "results",
