@@ -129,7 +129,7 @@ def read_configured(spark: SparkSession, config: Mapping[str, object]) -> DataFr
 def _records(text: Column) -> Column:
     """The records of a JSON document, each as text: ``{"samples": […]}`` or a plain list."""
     inside = F.from_json(text, "samples array<string>")["samples"]
-    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(inside)
+    return F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>")).otherwise(inside)
 
 
 def parse_samples(records: DataFrame, column: str = "record") -> DataFrame:
@@ -155,5 +155,5 @@ def read_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """Labelled samples.  ``lines`` reads one record per line, which splits; a document is one task per file."""
     if lines:
         return parse_samples(spark.read.text(path).select(F.col("value").alias("record")))
-    documents = spark.read.option("wholetext", True).text(path)
+    documents = spark.read.text(path, wholetext=True)
     return parse_samples(documents.select(F.explode(_records(F.col("value"))).alias("record")))
