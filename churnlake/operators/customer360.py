@@ -33,10 +33,13 @@ RESPELT = {"ocret": "occret"}
 
 
 def newest_row(satellite: DataFrame, key: str = "customer_id", order: str = "id") -> DataFrame:
-    """The newest row per customer, found by an aggregate that shrinks repeats before the shuffle."""
+    """The newest row per customer, found by an aggregate that shrinks repeats before the shuffle.
+
+    One ``max_by`` per column, all by the same order, picks one row; over numbers it stays a hash
+    aggregate, where one ``max_by`` of a struct would have to sort.
+    """
     rest = [c for c in satellite.columns if c not in (key, order)]
-    chosen = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
-    return satellite.groupBy(key).agg(chosen).select(key, "_row.*")
+    return satellite.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in rest])
 
 
 def customer_360(master: DataFrame, satellites: Mapping[str, DataFrame], key: str = "customer_id") -> DataFrame:

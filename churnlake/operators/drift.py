@@ -84,7 +84,8 @@ def term(live: Column, ref: Column) -> Column:
 def psi(reference: DataFrame, live: DataFrame, columns: Sequence[str], limit: float = FEATURE_LIMIT) -> DataFrame:
     """``(feature, psi, drifted)``."""
     counts = bin_counts(reference, live, plan_bins(reference, columns))
-    totals = counts.groupBy("feature").agg(F.sum("ref").alias("n"), F.sum("live").alias("m"))
+    # One row per feature, so the totals are as many as the columns listed by the caller.
+    totals = F.broadcast(counts.groupBy("feature").agg(F.sum("ref").alias("n"), F.sum("live").alias("m")))
     share = term(F.try_divide(F.col("live"), F.col("m")), F.try_divide(F.col("ref"), F.col("n")))
     scored = counts.join(totals, "feature").groupBy("feature").agg(F.sum(share).alias("psi"))
     return scored.withColumn("drifted", F.col("psi") > limit)
@@ -108,13 +109,13 @@ def ks(reference: DataFrame, live: DataFrame, columns: Sequence[str]) -> DataFra
         .groupBy("feature", "value")
         .agg(F.count(F.when(F.col("side") == 0, 1)).alias("ref"), F.count(F.when(F.col("side") == 1, 1)).alias("live"))
     )
-    swept = running_totals(counts, ["feature"], ["value"], {"ref_up": "ref", "live_up": "live"})
-    totals = swept.groupBy("feature").agg(F.sum("ref").alias("n"), F.sum("live").alias("m"))
+    swept = running_totals(
+        counts, ["feature"], ["value"], {"ref_up": "ref", "live_up": "live"}, totals={"n": "ref", "m": "live"}
+    )
     gap = F.abs(F.try_divide(F.col("ref_up"), F.col("n")) - F.try_divide(F.col("live_up"), F.col("m")))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     return (
-        swept.join(totals, "feature")
-        .groupBy("feature", "n", "m")
+        swept.groupBy("feature", "n", "m")
         .agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
         .withColumn("critical", F.lit(KS_FACTOR) * F.sqrt(F.try_divide(n + m, n * m)))
         .select("feature", "ks", "critical", F.coalesce(F.col("ks") > F.col("critical"), F.lit(False)).alias("shifted"))
@@ -196,7 +197,7 @@ def psi_band(value: Column) -> Column:
 def reference_bins(reference: DataFrame, bins: Mapping[str, Sequence[float] | None]) -> DataFrame:
     """``(feature, bin, ref_share)`` of the reference."""
     counts = binned(reference, bins).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
+    totals = F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("total")))
     return counts.join(totals, "feature").select("feature", "bin", (F.col("n") / F.col("total")).alias("ref_share"))
 
 

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fields, formulas, scalars
+from ..session import stage
 from .quantiles import INTEGRAL, column_modes, exact_quantiles, is_numeric
-from .ranking import running_totals
+from .ranking import broadcast_if_small, measured, running_totals
 
 # Encoders up to this many classes travel inside the plan; larger ones are joined as a table.
 INLINE_CLASSES = 10_000
+INLINE_BYTES = 8 * 1024 * 1024
 _SHORT_LIST = 48
 
 PARAMS_SCHEMA = T.StructType(
@@ -191,19 +193,19 @@ def derive_production(df: DataFrame, fitted: Iterable[str], nulls: Mapping[str,
 def fit_labels(df: DataFrame, columns: Sequence[str], inline: int = INLINE_CLASSES) -> dict[str, list[str]] | DataFrame:
     """Sorted distinct text values per column.
 
-    Up to ``inline`` classes in total come back as lists.  More stay distributed, as a table
-    ``(column, value, code)`` ranked without collecting any column into one task.
+    Up to ``inline`` classes in total, and short ones, come back as lists.  More stay distributed, as a
+    table ``(column, value, code)`` ranked without collecting any column into one task.
     """
     columns = list(columns)
     if not columns:
         return {}
-    distinct = distinct_values(df, columns)
-    # limit(inline + 1) bounds what can reach the driver; whether it was hit decides the form.
-    head = distinct.limit(inline + 1).collect()
-    if len(head) <= inline:
-        return {c: sorted(r["value"] for r in head if r["column"] == c) for c in columns}
+    distinct = stage(distinct_values(df, columns), "distinct")
+    rows, size = measured(distinct)
+    if rows <= inline and size <= INLINE_BYTES:
+        found = distinct.collect()
+        return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
     ranked = running_totals(distinct.withColumn("one", F.lit(1)), ["column"], ["value"], {"place": "one"})
-    return ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code"))
+    return stage(ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code")), "classes")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -219,7 +221,7 @@ def encode_labels(df: DataFrame, classes: Mapping[str, Sequence[str]] | DataFram
         for c in wanted:
             codes = classes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
             df = (
-                df.join(codes, F.col(c).cast("string") == F.col("_v"), "left")
+                df.join(broadcast_if_small(codes), F.col(c).cast("string") == F.col("_v"), "left")
                 .withColumn(c, F.coalesce("_code", F.lit(-1)))
                 .drop("_v", "_code")
             )

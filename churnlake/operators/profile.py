@@ -30,7 +30,8 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of every value of every categorical column among its non-null values."""
     counts = value_counts(df, list(columns))
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    # One row per listed column.
+    totals = F.broadcast(counts.groupBy("column").agg(F.sum("n").alias("total")))
     return counts.join(totals, "column").select(
         F.col("column").alias("column_name"), "value", "n", (F.col("n") / F.col("total")).alias("share")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import metrics
 from ...functions.scalars import r6 as _r6
 from ...operators import evaluate as ev
+from ...session import stage
 from ..bindings import prelude, view, wide
 from .base import query, r6
 
@@ -88,7 +89,7 @@ _ALL = [*metrics.NAMES, "roc_auc"]
 
 @query("fold_metrics", f"{_SCORES}, {_FOLDS} SELECT fold, {', '.join(f'{r6(n)} AS {n}' for n in _ALL)} FROM f")
 def _(spark, sf):
-    return _rounded(ev.fold_metrics(view(spark, sf, "scores"), "fold", "label", "p"), _ALL)
+    return _rounded(ev.fold_metrics(stage(view(spark, sf, "scores"), "scores"), "fold", "label", "p"), _ALL)
 
 
 @query(
@@ -99,7 +100,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    folds = ev.fold_metrics(view(spark, sf, "scores"), "fold", "label", "p")
+    folds = ev.fold_metrics(stage(view(spark, sf, "scores"), "scores"), "fold", "label", "p")
     return _rounded(ev.cv_summary(folds), ["mean", "std"])
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ...functions.scalars import r6 as _r6
 from ...operators import drift as dr
+from ...operators.ranking import small_side
+from ...session import stage
 from ...streaming import windows as wn
 from ..bindings import prelude, view
 from .base import query, r6
@@ -210,9 +212,9 @@ def _(spark, sf):
     label = F.col("label").cast("string").alias("label")
     columns = ["value", "event_type", "label"]
     bins = dr.plan_bins(ref.select("value", "event_type", label), columns)
-    reference = dr.reference_bins(ref.select("value", "event_type", label), bins)
+    reference = small_side(dr.reference_bins(ref.select("value", "event_type", label), bins), "reference-bins")
     counts = wn.sliding_counts(dr.binned(live.select("ts", "value", "event_type", label), bins, ["ts"]), "ts", ["feature", "bin"])
-    out = dr.psi_of_groups(counts, reference, ["window_start", "window_end"])
+    out = dr.psi_of_groups(stage(counts, "window-counts"), reference, ["window_start", "window_end"])
     return wn.plain_times(out).withColumn("psi", _r6(F.col("psi"))).drop("window_end")
 
 

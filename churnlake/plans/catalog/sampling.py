@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.scalars import r6 as _r6
 from ...operators import neighbors as nb
 from ...operators import sampling as sp
+from ...session import stage
 from ..bindings import prelude, view
 from .base import query, r6
 from .shared import W_SQL, landed
@@ -14,13 +15,18 @@ from .shared import W_SQL, landed
 _SCORES = prelude("scores")
 
 
+def _labels(spark, sf):
+    """Ids and labels, written once because ranking reads them twice."""
+    return stage(view(spark, sf, "scores").select("customer_id", "label"), "labels")
+
+
 @query(
     "stratified_folds",
     f"""{_SCORES} SELECT customer_id, label, CAST((row_number() OVER (PARTITION BY label
     ORDER BY md5('42|' || customer_id), customer_id) - 1) % 5 AS INTEGER) AS fold FROM scores""",
 )
 def _(spark, sf):
-    return sp.stratified_folds(view(spark, sf, "scores").select("customer_id", "label"), "label", ["customer_id"], 5)
+    return sp.stratified_folds(_labels(spark, sf), "label", ["customer_id"], 5)
 
 
 @query(
@@ -29,7 +35,7 @@ def _(spark, sf):
     <= floor(count(*) OVER (PARTITION BY label) * 0.2e0 + 0.5e0) AS is_test FROM scores""",
 )
 def _(spark, sf):
-    return sp.stratified_split(view(spark, sf, "scores").select("customer_id", "label"), "label", ["customer_id"])
+    return sp.stratified_split(_labels(spark, sf), "label", ["customer_id"])
 
 
 @query(
@@ -44,8 +50,7 @@ def _(spark, sf):
   UNION ALL SELECT customer_id, label FROM e WHERE rk <= 101 - (SELECT sum(quota) FROM q) AND (SELECT max(total) FROM q) >= 101""",
 )
 def _(spark, sf):
-    scores = view(spark, sf, "scores").select("customer_id", "label")
-    return sp.stratified_sample(scores, "label", ["customer_id"], 101, min_per_class=30)
+    return sp.stratified_sample(_labels(spark, sf), "label", ["customer_id"], 101, min_per_class=30)
 
 
 _PAIRS = """pairs AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id,

@@ -18,6 +18,7 @@ from ..functions import rules
 from ..operators import drift as dr
 from ..operators import quality as ql
 from ..operators.normalize import normalize_records
+from ..operators.ranking import small_side
 from ..plans.scoring import score_rows
 from ..session import scratch_path, stage
 from . import windows as wn
@@ -86,10 +87,12 @@ def monitor_drift(
     Sinks: ``psi`` (one row per window and feature), ``alerts`` (only windows that require action).
     """
     bins = dr.plan_bins(reference, columns)
-    shares = stage(dr.reference_bins(reference, bins), "reference-bins")
+    shares = small_side(dr.reference_bins(reference, bins), "reference-bins")
 
     def sinks(batch: DataFrame) -> Mapping[str, DataFrame]:
-        scored = dr.psi_of_groups(batch, shares, ["window_start", "window_end"])
+        # Each use of a micro-batch would run it again, so counts and scores are written once.
+        counts = stage(batch, "window-counts")
+        scored = stage(dr.psi_of_groups(counts, shares, ["window_start", "window_end"]), "window-psi")
         return {"psi": scored, "alerts": window_alerts(scored, target)}
 
     return write_batches(drift_counts(live, bins, watermark=watermark), root, sinks, trigger)
