@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGRAL = ("bigint", "int", "smallint", "tinyint")
@@ -21,14 +22,14 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     direct_values: int = 250_000,
-    accuracy: int = 10_000,
+    accuracy: int = 2_000,
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles, nulls skipped; ``None`` for a column without values.
 
     Columns with few distinct values go through one ``percentile`` aggregate.  For the others the
-    two order statistics around each quantile are located by narrowing: a sketch proposes an
-    interval, one counting pass checks that it holds the wanted rank, and the interval shrinks until
-    the values inside are few.  Every pass is a column-pruned aggregate; no rows are shuffled.
+    order statistics around each quantile are located by narrowing: a sketch proposes an interval,
+    one counting pass checks that it holds the wanted ranks, and the interval shrinks until the
+    values inside are few.  Every pass is a column-pruned aggregate; no rows are shuffled.
     """
     columns = list(columns)
     if not columns:
@@ -46,89 +47,106 @@ def exact_quantiles(
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
         out.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
-    if large:
-        wanted = {}
-        for c in large:
-            for p in probabilities:
-                position = p * (counts[c] - 1)
-                wanted[(c, p)] = (math.floor(position), math.ceil(position), position - math.floor(position))
-        ranks = {(c, r) for (c, _), (lo, hi, _) in wanted.items() for r in (lo, hi)}
-        found = _order_statistics(df, ranks, counts, direct_values, accuracy)
-        for c in large:
-            values = []
-            for p in probabilities:
-                lo, hi, part = wanted[(c, p)]
-                values.append(found[(c, lo)] + part * (found[(c, hi)] - found[(c, lo)]))
-            out[c] = values
+    wanted = [_Box(c, p * (counts[c] - 1), counts[c]) for c in large for p in probabilities]
+    for start in range(0, len(wanted), _BOXES_PER_PASS):
+        _narrow(df, wanted[start : start + _BOXES_PER_PASS], direct_values, accuracy)
+    for i, c in enumerate(large):
+        boxes = wanted[i * len(probabilities) : (i + 1) * len(probabilities)]
+        out[c] = [b.value for b in boxes]
     return out
 
 
-def _order_statistics(df, ranks, counts, direct_values, accuracy):
-    """Value at each zero-based rank, by narrowing an interval ``[lo, hi]`` around it."""
-    open_at = {k: {"lo": -math.inf, "hi": math.inf, "below": 0, "size": counts[k[0]], "direct": False} for k in ranks}
-    found: dict[tuple[str, int], float] = {}
-
-    def inside(key, box):
-        c = F.col(key[0]).cast("double")
-        return F.when((c >= F.lit(box["lo"])) & (c <= F.lit(box["hi"])), c)
-
-    while open_at:
-        keys = list(open_at)
-        final = [k for k in keys if open_at[k]["direct"]]
-        if final:
-            picks = []
-            for i, k in enumerate(final):
-                box = open_at[k]
-                at = (k[1] - box["below"] + 0.5) / box["size"]
-                lo, hi = (f"double('{box[e]!r}')".replace("inf", "Infinity") for e in ("lo", "hi"))
-                value = f"CAST(`{k[0]}` AS DOUBLE)"
-                picks.append(
-                    F.expr(
-                        f"percentile_disc({at!r}D) WITHIN GROUP (ORDER BY CASE WHEN {value} >= {lo} "
-                        f"AND {value} <= {hi} THEN {value} END)"
-                    ).alias(f"v{i}")
-                )
-            row = df.agg(*picks).first()
-            for i, k in enumerate(final):
-                found[k] = row[f"v{i}"]
-                del open_at[k]
-            continue
+# Sketches held by one aggregate at a time.
+_BOXES_PER_PASS = 64
+
+
+@dataclass
+class _Box:
+    """An interval ``[lo, hi]`` known to hold the order statistics on both sides of a position."""
+
+    column: str
+    position: float
+    size: int
+    below: int = 0
+    lo: float = -math.inf
+    hi: float = math.inf
+    few: bool = False
+    value: float | None = None
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
+
+    def inside(self) -> Column:
+        c = F.col(self.column).cast("double")
+        return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
+
+    def share(self, rank: int) -> float:
+        """The middle of a rank's step in the distribution of the values inside."""
+        return (rank - self.below + 0.5) / self.size
+
+
+def _narrow(df: DataFrame, boxes: Sequence[_Box], direct_values: int, accuracy: int) -> None:
+    """Find the value of every box."""
+    while True:
+        ready = [b for b in boxes if b.value is None and b.few]
+        if ready:
+            _pick(df, ready)
+        still = [b for b in boxes if b.value is None]
+        if not still:
+            return
         # Propose: the sketch is within size / accuracy ranks of the truth.
         proposals = []
-        for i, k in enumerate(keys):
-            box = open_at[k]
-            at = (k[1] - box["below"] + 0.5) / box["size"]
-            edges = [max(0.0, at - 2.0 / accuracy), min(1.0, at + 2.0 / accuracy)]
-            proposals.append(
-                F.percentile_approx(inside(k, box), F.array(*[F.lit(e) for e in edges]), accuracy).alias(f"e{i}")
-            )
+        for i, b in enumerate(still):
+            first, last = (b.share(r) for r in b.ranks)
+            ends = [F.lit(max(0.0, first - 2.0 / accuracy)), F.lit(min(1.0, last + 2.0 / accuracy))]
+            proposals.append(F.percentile_approx(b.inside(), F.array(*ends), accuracy).alias(f"e{i}"))
         row = df.agg(*proposals).first()
-        tried = {k: (float(row[f"e{i}"][0]), float(row[f"e{i}"][1])) for i, k in enumerate(keys)}
+        tried = [(float(row[f"e{i}"][0]), float(row[f"e{i}"][1])) for i in range(len(still))]
         # Check: how many values lie below and inside, and how many distinct ones inside.
         checks = []
-        for i, k in enumerate(keys):
-            c, (lo, hi) = F.col(k[0]).cast("double"), tried[k]
+        for i, (b, (lo, hi)) in enumerate(zip(still, tried)):
+            c = F.col(b.column).cast("double")
+            within = (c >= lo) & (c <= hi)
             checks += [
                 F.count(F.when(c < lo, 1)).alias(f"b{i}"),
-                F.count(F.when((c >= lo) & (c <= hi), 1)).alias(f"s{i}"),
-                F.approx_count_distinct(F.when((c >= lo) & (c <= hi), c)).alias(f"d{i}"),
+                F.count(F.when(within, 1)).alias(f"s{i}"),
+                F.approx_count_distinct(F.when(within, c)).alias(f"d{i}"),
             ]
         row = df.agg(*checks).first()
         progress = False
-        for i, k in enumerate(keys):
-            (lo, hi), below, size = tried[k], row[f"b{i}"], row[f"s{i}"]
-            if not below <= k[1] < below + size:
+        for i, (b, (lo, hi)) in enumerate(zip(still, tried)):
+            below, size = row[f"b{i}"], row[f"s{i}"]
+            if not (below <= b.ranks[0] and b.ranks[1] < below + size):
                 continue
+            progress = progress or lo == hi or size < b.size
+            b.lo, b.hi, b.below, b.size = lo, hi, below, size
+            b.few = row[f"d{i}"] <= direct_values
             if lo == hi:
-                found[k] = lo
-                del open_at[k]
+                b.value = lo
                 progress = True
-                continue
-            progress = progress or size < open_at[k]["size"]
-            open_at[k] = {"lo": lo, "hi": hi, "below": below, "size": size, "direct": row[f"d{i}"] <= direct_values}
+            progress = progress or b.few
         if not progress:
             accuracy *= 10
-    return found
+
+
+def _pick(df: DataFrame, boxes: Sequence[_Box]) -> None:
+    """Exact order statistics inside intervals with few distinct values, then the interpolation."""
+    picks = []
+    for i, b in enumerate(boxes):
+        lo, hi = (f"double('{e!r}')".replace("inf", "Infinity") for e in (b.lo, b.hi))
+        v = f"CAST(`{b.column}` AS DOUBLE)"
+        for tag, rank in zip("ab", b.ranks):
+            picks.append(
+                F.expr(
+                    f"percentile_disc({b.share(rank)!r}D) WITHIN GROUP "
+                    f"(ORDER BY CASE WHEN {v} >= {lo} AND {v} <= {hi} THEN {v} END)"
+                ).alias(f"{tag}{i}")
+            )
+    row = df.agg(*picks).first()
+    for i, b in enumerate(boxes):
+        a, z = row[f"a{i}"], row[f"b{i}"]
+        b.value = a + (b.position - b.ranks[0]) * (z - a)
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:

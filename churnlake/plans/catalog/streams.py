@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions import fields
 from ...functions.scalars import r6 as _r6
 from ...operators import models as md
+from ...operators import store as st
 from ...session import scratch_path
 from ...streaming import flows as fl
 from ...streaming import windows as wn
@@ -144,3 +145,22 @@ def _(spark, sf):
     return scored.withColumn("confidence", _r6(F.col("confidence")))
 
 
+
+
+@query(
+    "stream_status",
+    """SELECT event_type AS monitor, arg_max(CASE WHEN value > 200 THEN 'CRITICAL' WHEN value > 100 THEN 'WARNING'
+      ELSE 'STABLE' END, ts) AS status, max(ts) AS last_ts, max(CASE WHEN value <= 200 THEN ts END) AS last_success
+  FROM events GROUP BY event_type""",
+)
+def _(spark, sf):
+    value = F.col("value")
+    status = F.when(value > 200, "CRITICAL").when(value > 100, "WARNING").otherwise("STABLE")
+    checks = wn.event_time(_events(spark, sf), "ts").select(
+        F.col("event_type").alias("monitor"), "ts", status.alias("status"), (value <= 200).alias("ok")
+    )
+    latest = wn.latest_status(checks, "monitor", "ts")
+    root = scratch_path(spark, "status")
+    fl.run(fl.write_batches(latest, root, lambda batch: {"status": batch}, mode="update"))
+    # Every batch repeats the monitors it changed; the newest row of each is its status.
+    return wn.plain_times(st.one_per_key(fl.written(spark, root, "status", latest.schema), ["monitor"], ["last_ts"], last=True))
