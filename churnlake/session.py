@@ -27,7 +27,7 @@ _local_scratch: dict[str, str] = {}
 
 
 def build_session(app: str = "churnlake", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators expect; pass dotted keys with ``__`` for ``.``."""
+    """A session with the settings the operators expect; ``__`` in a keyword stands for a dot."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

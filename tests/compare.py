@@ -1,6 +1,7 @@
 """Run a registered query and its oracle SQL side by side.
 
-``python tests/compare.py [sf] [name ...]`` prints one line per query.
+``python tests/compare.py [sf] [name ...]`` prints one line per query; with ``CHURNLAKE_SPREAD=1`` under
+plans as they are on large data.
 """
 
 from __future__ import annotations
@@ -81,7 +82,11 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.01"
     names = argv[1:] or list(QUERIES)
-    spark = build_session("compare", "local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__driver__memory": "12g"})
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
+    if os.environ.get("CHURNLAKE_SPREAD"):
+        # As on large data: no automatic broadcast, and small shuffles stay in many partitions.
+        conf |= {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark = build_session("compare", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{DATA}/sf{sf}"
     con = connect(sf_dir)

@@ -8,6 +8,15 @@ from churnlake.operators import sampling as sp
 from churnlake.operators.neighbors import knn
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Keep small shuffles in many partitions, as they are on real data."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
 def _labelled(spark, n=3000):
     return spark.range(n).select("id", (F.col("id") % 7 == 0).cast("int").alias("y"))
 
