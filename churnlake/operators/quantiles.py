@@ -24,7 +24,7 @@ def exact_quantiles(
     direct_values: int = 250_000,
     accuracy: int = 2_000,
 ) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles, nulls skipped; ``None`` for a column without values.
+    """Exact linearly interpolated quantiles, null and NaN skipped; ``None`` for a column without values.
 
     Columns with few distinct values go through one ``percentile`` aggregate.  For the others the
     order statistics around each quantile are located by narrowing: a sketch proposes an interval,
@@ -35,7 +35,7 @@ def exact_quantiles(
     if not columns:
         return {}
     # The state of the exact aggregate never exceeds the row count, so small data needs no sketch.
-    head = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    head = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     counts = {c: head[f"n{i}"] for i, c in enumerate(columns)}
     large = [c for c in columns if counts[c] > direct_values]
     if large:
@@ -45,7 +45,7 @@ def exact_quantiles(
     small = [c for c in columns if counts[c] and c not in large]
     if small:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        row = df.agg(*[F.percentile(_value(c), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
         out.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
     wanted = [_Box(c, p * (counts[c] - 1), counts[c]) for c in large for p in probabilities]
     for start in range(0, len(wanted), _BOXES_PER_PASS):
@@ -56,6 +56,11 @@ def exact_quantiles(
     return out
 
 
+def _value(column: str) -> Column:
+    c = F.col(column).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 # Sketches held by one aggregate at a time.
 _BOXES_PER_PASS = 64
 
@@ -78,7 +83,7 @@ class _Box:
         return math.floor(self.position), math.ceil(self.position)
 
     def inside(self) -> Column:
-        c = F.col(self.column).cast("double")
+        c = _value(self.column)
         return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
 
     def share(self, rank: int) -> float:
@@ -106,7 +111,7 @@ def _narrow(df: DataFrame, boxes: Sequence[_Box], direct_values: int, accuracy:
         # Check: how many values lie below and inside, and how many distinct ones inside.
         checks = []
         for i, (b, (lo, hi)) in enumerate(zip(still, tried)):
-            c = F.col(b.column).cast("double")
+            c = _value(b.column)
             within = (c >= lo) & (c <= hi)
             checks += [
                 F.count(F.when(c < lo, 1)).alias(f"b{i}"),
@@ -140,7 +145,7 @@ def _pick(df: DataFrame, boxes: Sequence[_Box]) -> None:
             picks.append(
                 F.expr(
                     f"percentile_disc({b.share(rank)!r}D) WITHIN GROUP "
-                    f"(ORDER BY CASE WHEN {v} >= {lo} AND {v} <= {hi} THEN {v} END)"
+                    f"(ORDER BY CASE WHEN NOT isnan({v}) AND {v} >= {lo} AND {v} <= {hi} THEN {v} END)"
                 ).alias(f"{tag}{i}")
             )
     row = df.agg(*picks).first()

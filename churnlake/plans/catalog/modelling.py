@@ -1,7 +1,8 @@
 """Queries for training, scoring and the model registry.
 
-Training runs over all customers; the search spaces here are short so that a query stays quick.
-The full spaces are the defaults of :mod:`churnlake.operators.models`.
+Training runs over all customers; the search spaces here are short so that a query stays quick, and
+only the forest balances its classes first.  The full spaces are the defaults of
+:mod:`churnlake.operators.models`.
 """
 
 from __future__ import annotations
@@ -51,13 +52,13 @@ def _(spark, sf):
 @query("train_gbt")
 def _(spark, sf):
     data, params = table(spark, sf)
-    return _summary(md.train_boosted(data, params.features, "churn", "customer_id", BOOST, n=2, folds=2, inner=2))
+    return _summary(md.train_boosted(data, params.features, "churn", "customer_id", BOOST, n=2, folds=2, inner=2, balance=False))
 
 
 @query("train_mlp")
 def _(spark, sf):
     data, params = table(spark, sf)
-    return _summary(md.train_network(data, params.features, "churn", "customer_id", NETWORK, n=2, folds=3))
+    return _summary(md.train_network(data, params.features, "churn", "customer_id", NETWORK, n=2, folds=3, balance=False))
 
 
 def _quick_model(data, params):
@@ -144,8 +145,8 @@ def _(spark, sf):
 def _(spark, sf):
     data, params = table(spark, sf)
     trainers = {
-        "random_forest": lambda d, f, y, i: md.train_forest(d, f, y, i, {**FOREST, "maxDepth": [5]}, folds=2),
-        "neural_net": lambda d, f, y, i: md.train_network(d, f, y, i, NETWORK, n=1, folds=2),
+        "random_forest": lambda d, f, y, i: md.train_forest(d, f, y, i, {**FOREST, "maxDepth": [5]}, folds=2, balance=False),
+        "neural_net": lambda d, f, y, i: md.train_network(d, f, y, i, NETWORK, n=1, folds=2, balance=False),
     }
     root = scratch_path(spark, "retrain")
     report = rt.run_retraining(data, trainers, params.features, "churn", "customer_id", root, "run_1")

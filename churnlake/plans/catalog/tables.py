@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ...operators import customer360 as c360
 from ...operators import store as st
 from ...operators.ranking import beside
+from ...session import scratch_path
+from ...sources import tables as tb
 from ..bindings import prelude, view
 from .base import query
 from .shared import FLAGS, NUMBERS, W_SQL, landed
@@ -20,9 +22,7 @@ _LAYOUT = "customer_id, ts, source, batch_id, record_id, revenue, mou, churn"
 # Store mutations
 
 
-@query(
-    "store_upsert",
-    f"""{_BOTH},
+_UPSERTED = f"""{_BOTH},
   f AS (SELECT *, row_number() OVER (PARTITION BY customer_id, ts ORDER BY record_id) AS a,
     row_number() OVER (PARTITION BY customer_id, ts ORDER BY record_id DESC) AS z FROM incoming WHERE ts IS NOT NULL),
   i AS (SELECT p.customer_id, p.ts, p.source, p.batch_id, p.record_id, q.revenue, q.mou, q.churn
@@ -34,10 +34,28 @@ _LAYOUT = "customer_id, ts, source, batch_id, record_id, revenue, mou, churn"
   FROM store s LEFT JOIN i ON i.customer_id = s.customer_id AND i.ts = s.ts
   UNION ALL SELECT {_LAYOUT} FROM i WHERE NOT EXISTS
     (SELECT 1 FROM store s WHERE s.customer_id = i.customer_id AND s.ts = i.ts)
-  UNION ALL SELECT {_LAYOUT} FROM incoming WHERE ts IS NULL""",
-)
+  UNION ALL SELECT {_LAYOUT} FROM incoming WHERE ts IS NULL"""
+_UPDATES = ["revenue", "mou", "churn"]
+
+
+@query("store_upsert", _UPSERTED)
+def _(spark, sf):
+    return st.upsert(view(spark, sf, "store"), view(spark, sf, "incoming"), _UPDATES)
+
+
+def _stored(spark, sf):
+    """The store as a partitioned table, and its schema."""
+    store = view(spark, sf, "store")
+    root = scratch_path(spark, "store")
+    tb.create_store(store, root)
+    return root, store.schema
+
+
+@query("store_upsert_table", _UPSERTED)
 def _(spark, sf):
-    return st.upsert(view(spark, sf, "store"), view(spark, sf, "incoming"), ["revenue", "mou", "churn"])
+    root, schema = _stored(spark, sf)
+    tb.upsert_store(spark, root, schema, view(spark, sf, "incoming"), _UPDATES)
+    return tb.read_store(spark, root, schema)
 
 
 _ADDED = f"""added AS (SELECT {_LAYOUT} FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, ts ORDER BY record_id)
@@ -51,6 +69,16 @@ def _(spark, sf):
     return st.insert_ignore(view(spark, sf, "store"), view(spark, sf, "incoming"))
 
 
+@query(
+    "store_insert_table",
+    f"{_BOTH}, {_ADDED} SELECT {_LAYOUT} FROM store UNION ALL SELECT {_LAYOUT} FROM added",
+)
+def _(spark, sf):
+    root, schema = _stored(spark, sf)
+    tb.insert_store(spark, root, schema, view(spark, sf, "incoming"))
+    return tb.read_store(spark, root, schema)
+
+
 @query(
     "store_insert_counts",
     f"""{_BOTH}, {_ADDED} SELECT p AS processed, s AS saved, p - s AS failed
@@ -102,6 +130,17 @@ def _(spark, sf):
     return beside(remaining, st.deleted_count(store, batch))
 
 
+@query(
+    "store_drop_batch",
+    f"""{_STORE} SELECT {_LAYOUT}, (SELECT count(*) FROM store WHERE batch_id = 'BATCH_199703') AS deleted
+  FROM store WHERE batch_id <> 'BATCH_199703'""",
+)
+def _(spark, sf):
+    root, schema = _stored(spark, sf)
+    deleted = tb.delete_store_batch(spark, root, schema, "BATCH_199703")
+    return tb.read_store(spark, root, schema).withColumn("deleted", F.lit(deleted).cast("bigint"))
+
+
 @query(
     "store_export",
     f"{_STORE} SELECT {_LAYOUT} FROM store WHERE source = 'csv' AND ts >= TIMESTAMP '1997-01-01 00:00:00' "

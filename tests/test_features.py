@@ -108,7 +108,8 @@ def test_quantiles_by_narrowing(spark, kind):
         "ties": np.round(rng.exponential(size=n), 1),
         "two_heavy": np.where(rng.random(n) < 0.6, 1.0, rng.random(n) + 1.0),
     }[kind]
-    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    extra = [(None,), (float("nan"),)]
+    df = spark.createDataFrame([(float(v),) for v in values] + extra, "v double").repartition(5)
     probs = [0.1, 0.25, 0.5, 0.9, 1.0]
     got = exact_quantiles(df, ["v"], probs, direct_values=20, accuracy=100)["v"]
     assert got == pytest.approx(list(np.quantile(values, probs)), rel=0, abs=1e-12)

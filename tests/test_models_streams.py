@@ -44,10 +44,10 @@ def test_forest_finds_the_signal(spark, data):
 
 def test_boosted_and_network_find_the_signal(spark, data):
     boost = {"stepSize": [0.1], "maxDepth": [2, 3], "maxIter": [5], "subsamplingRate": [0.8], "featureSubsetStrategy": ["all"]}
-    trained = md.train_boosted(data, ["a", "b"], "y", "id", boost, n=2, folds=2, inner=2)
+    trained = md.train_boosted(data, ["a", "b"], "y", "id", boost, n=2, folds=2, inner=2, balance=False)
     assert trained.scores.select("id").distinct().count() == 400
     assert {r["metric"]: r["mean"] for r in md.metric_rows(trained).collect()}["roc_auc"] > 0.8
-    net = md.train_network(data, ["a", "b"], "y", "id", {**md.NETWORK_SPACE, "units": [32]}, n=1, folds=2)
+    net = md.train_network(data, ["a", "b"], "y", "id", {**md.NETWORK_SPACE, "units": [32]}, n=1, folds=2, balance=False)
     assert {r["metric"]: r["mean"] for r in md.metric_rows(net).collect()}["roc_auc"] > 0.8
 
 
@@ -76,7 +76,7 @@ def test_retraining_reports_failures_and_stops_at_the_gate(spark, data):
     def broken(*_):
         raise RuntimeError("no")
 
-    trainers = {"random_forest": lambda d, f, y, i: md.train_forest(d, f, y, i, {**FOREST, "maxDepth": [3]}, folds=2), "bad": broken}
+    trainers = {"random_forest": lambda d, f, y, i: md.train_forest(d, f, y, i, {**FOREST, "maxDepth": [3]}, folds=2, balance=False), "bad": broken}
     report = rt.run_retraining(data, trainers, ["a", "b"], "y", "id", scratch_path(spark, "rt"), "r1").first()
     assert report["overall_status"] == "success"
     assert (report["evaluation"]["successful_models"], report["evaluation"]["failed_models"]) == (1, 1)
