@@ -9,7 +9,6 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fields, rules
 from .quantiles import exact_quantiles, is_numeric
@@ -289,16 +288,3 @@ def resolve_schema(registry: DataFrame, requests: DataFrame) -> DataFrame:
             F.col("hit").isNull().alias("is_default"),
         )
     )
-
-
-VALIDATION_LOG = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("row_count", T.LongType()),
-        T.StructField("column_count", T.IntegerType()),
-        T.StructField("issues", T.ArrayType(T.StringType())),
-        T.StructField("stage", T.StringType()),
-        T.StructField("checked_at", T.TimestampType()),
-    ]
-)

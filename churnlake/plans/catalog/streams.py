@@ -100,6 +100,20 @@ def _(spark, sf):
     return wn.plain_times(raised).select("window_start", "alert_type", "level")
 
 
+@query(
+    "stream_summary",
+    f"""{WINDOWED_SQL}, s AS (SELECT window_start, count(*) FILTER (WHERE feature <> 'label') AS total_features,
+    count(*) FILTER (WHERE feature <> 'label' AND psi > 0.2) AS drifted_features,
+    bool_or(feature = 'label' AND psi > 0.1) AS target_drift FROM wp GROUP BY 1)
+  SELECT *, CASE WHEN target_drift THEN 'CRITICAL' WHEN drifted_features > 0 THEN 'WARNING' ELSE 'STABLE' END AS status
+  FROM s WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED}""",
+)
+def _(spark, sf):
+    root = _run_drift(spark, sf)
+    schema = f"{_TIMES}, total_features bigint, drifted_features bigint, target_drift boolean, status string"
+    return wn.plain_times(fl.written(spark, root, "summary", schema)).drop("window_end")
+
+
 # Raw records land as JSON files under alias names, as an upstream system would send them.
 _SENT_AS = {name: many[0] for name, many in fields.ALIASES.items() if name != "churn"}
 

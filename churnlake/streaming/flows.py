@@ -84,7 +84,8 @@ def monitor_drift(
 ) -> StreamingQuery:
     """Score every closed window against a fixed reference.
 
-    Sinks: ``psi`` (one row per window and feature), ``alerts`` (only windows that require action).
+    Sinks: ``psi`` (one row per window and feature), ``summary`` (one per window) and ``alerts`` (only
+    windows that require action).
     """
     bins = dr.plan_bins(reference, columns)
     shares = small_side(dr.reference_bins(reference, bins), "reference-bins")
@@ -93,7 +94,7 @@ def monitor_drift(
         # Each use of a micro-batch would run it again, so counts and scores are written once.
         counts = stage(batch, "window-counts")
         scored = stage(dr.psi_of_groups(counts, shares, ["window_start", "window_end"]), "window-psi")
-        return {"psi": scored, "alerts": window_alerts(scored, target)}
+        return {"psi": scored, "summary": window_summaries(scored, target), "alerts": window_alerts(scored, target)}
 
     return write_batches(drift_counts(live, bins, watermark=watermark), root, sinks, trigger)
 
