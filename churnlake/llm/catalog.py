@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits, exact, packing, topk
+from . import bpe, edits, exact, packing, quality, topk, toxicity
 from .scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,16 @@ def exact_dedup(spark, sf_dir):
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark, sf_dir):
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op9_edit_aware_counts")
 def edit_aware_counts(spark, sf_dir):
     return edits.count_under_edits(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -36,17 +36,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def over_texts(df: DataFrame, make: Callable[[list[bytes]], dict], schema: str, keep: str = "doc_id") -> DataFrame:
-    """Add columns made from each batch of UTF-8 texts to the kept column; row order and number stay."""
-    names = [part.split()[0] for part in schema.split(",")][1:]
+def over_texts(df: DataFrame, make: Callable[[list[bytes]], dict], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns made from each batch of UTF-8 texts after the kept ones; row order and number stay."""
+    names = [part.split()[0] for part in schema.split(",")][len(keep) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             columns = make(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(keep), *[columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n]) for n in names]],
-                [keep, *names],
+                [batch.column(k) for k in keep]
+                + [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n]) for n in names],
+                [*keep, *names],
             )
 
     return df.mapInArrow(run, schema)
