@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits, exact, packing, quality, topk, toxicity
+from . import bpe, edits, exact, near, packing, quality, substrings, topk, toxicity
 from .scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,11 +71,21 @@ def quality_classifier(spark, sf_dir):
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op6_minhash_near_dedup")
+def minhash_near_dedup(spark, sf_dir):
+    return near.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 @query("op7_toxicity")
 def toxicity_scores(spark, sf_dir):
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op8_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_edit_aware_counts")
 def edit_aware_counts(spark, sf_dir):
     return edits.count_under_edits(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

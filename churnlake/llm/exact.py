@@ -46,6 +46,19 @@ def may_repeat(digests: DataFrame, filter_maps: DataFrame, bits: int) -> DataFra
     return out.select(*digests.columns, F.expr(f"{bit.format(0)} and {bit.format(1)}").alias("may_repeat"))
 
 
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of their group, from a written table with one row per ``key`` and its ``group_size``.
+
+    Groups above a 4096th of all rows, of which there are at most 4096, are joined by broadcast, so that no key with
+    many rows is shuffled to one task.
+    """
+    limit = max(1, (groups.agg(F.sum("group_size")).first()[0] or 0) // HOT_SHARE)
+    hot, cool = groups.where(F.col("group_size") > limit), groups.where(F.col("group_size") <= limit)
+    hot_rows = rows.join(F.broadcast(hot), key)
+    cool_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key)
+    return hot_rows.unionByName(cool_rows.select(*hot_rows.columns))
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS
 ) -> DataFrame:
@@ -71,14 +84,10 @@ def exact_groups(
     groups = stage(
         maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups"
     )
-    hot = groups.where(F.col("group_size") > max(1, rows // HOT_SHARE))
-    cool = groups.where(F.col("group_size") <= max(1, rows // HOT_SHARE))
-    hot_rows = maybe.join(F.broadcast(hot), "sha")
-    cool_rows = maybe.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(cool, "sha")
+    grouped = join_to_groups(maybe, groups, "sha")
     columns = ["doc_id", "keep_id", "group_size", "sha"]
     return (
-        alone.unionByName(hot_rows.select(*columns))
-        .unionByName(cool_rows.select(*columns))
+        alone.unionByName(grouped.select(*columns))
         .select(
             "doc_id",
             "keep_id",
