@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits, exact, near, packing, quality, substrings, topk, toxicity
+from . import bpe, edits, exact, near, packing, pii, quality, substrings, topk, toxicity
 from .scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_personal_data")
+def personal_data(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
