@@ -5,7 +5,7 @@ A formula takes a lookup ``name → Column`` so the same text serves raw, impute
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -24,14 +24,20 @@ class Formula:
 REGISTRY: dict[str, Formula] = {}
 
 
-def weighted(name: str, **weights: float) -> Formula:
-    """Register a feature that is a weighted sum of its sources."""
+def weighted(name: str, per: Mapping[str, float] | None = None, **weights: float) -> Formula:
+    """Register a feature that is a weighted sum of its sources; those in ``per`` are divided by a number first."""
+    per = per or {}
+
+    def term(c: Lookup, source: str, weight: float) -> Column:
+        value = c(source) / F.lit(float(per[source])) if source in per else c(source)
+        return value if weight == 1 else value * F.lit(float(weight))
+
 
     def build(c: Lookup) -> Column:
-        terms = [c(s) if w == 1 else c(s) * F.lit(float(w)) for s, w in weights.items()]
+        terms = [term(c, s, w) for s, w in weights.items()]
         total = terms[0]
-        for term in terms[1:]:
-            total = total + term
+        for more in terms[1:]:
+            total = total + more
         return total.cast("double")
 
     return register(Formula(name, tuple(weights), build))
@@ -62,8 +68,8 @@ weighted("call_activity_score", mou=1, mourec=1, outcalls=0.5, incalls=0.5, peak
 weighted("call_quality_issues", dropvce=1, blckvce=1, unansvce=1, dropblk=1)
 weighted("cust_engagement_score", custcare=1, retcalls=1, retaccpt=2)
 weighted("overuse_behavior", overage=1, directas=0.5, recchrge=0.5)
-weighted("device_tenure_index", models=0.5, eqpdays=0.01, refurb=1)
-weighted("demographic_index", age1=0.5, age2=0.5, children=2, income=0.0001)
+weighted("device_tenure_index", per={"eqpdays": 100}, models=0.5, eqpdays=1, refurb=1)
+weighted("demographic_index", per={"income": 10000}, age1=0.5, age2=0.5, children=2, income=1)
 weighted("socio_tier", credita=1, creditaa=2, prizmub=1, prizmtwn=0.5)
 weighted("occupation_class", occprof=1, occcler=1, occcrft=1, occret=1, occself=1)
 weighted("household_lifestyle_score", ownrent=1, marryyes=1, pcown=1, creditcd=1, travel=1, truck=1, rv=1)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import fields
 
+# White space at the ends of a text, Unicode separators included; the same pattern serves the oracles.
+WHITE_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
 
 def flag(c: Column, ones: Iterable[str] = tuple(fields.FLAG_ONE)) -> Column:
     """Flag text to 0/1; the match is case-exact, and anything unknown or null is 0.
@@ -24,19 +27,24 @@ def flag_number(c: Column) -> Column:
 
 
 def fraction(c: Column) -> Column:
-    """Text to double, null where it does not parse."""
-    return c.try_cast("double")
+    """Text to double, null where it does not parse or is not a number."""
+    return nan_to_null(c.try_cast("double"))
 
 
 def whole(c: Column) -> Column:
-    """Text to integer by truncation; unparsable and null are 0."""
-    return F.coalesce(c.try_cast("double"), F.lit(0.0)).cast("int")
+    """Text to a long by truncation; null, unparsable, infinite and out of range are 0."""
+    return F.coalesce(nan_to_null(c.try_cast("double")).try_cast("bigint"), F.lit(0))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, WHITE_ENDS, "")
 
 
 def category(c: Column) -> Column:
     """Trimmed lower-case category; blanks and the words for a missing value are null."""
     text = F.when(c.isin("nan", "None"), F.lit("")).otherwise(c)
-    return F.nullif(F.lower(F.trim(text)), F.lit(""))
+    return F.nullif(F.lower(stripped(text)), F.lit(""))
 
 
 def nan_to_null(c: Column) -> Column:
@@ -45,7 +53,7 @@ def nan_to_null(c: Column) -> Column:
 
 def target(c: Column) -> Column:
     """Target text to 0/1 after trimming; unknown and null are 0."""
-    return F.when(F.trim(c).isin(*fields.TARGET_ONE), F.lit(1)).otherwise(F.lit(0))
+    return F.when(stripped(c).isin(*fields.TARGET_ONE), F.lit(1)).otherwise(F.lit(0))
 
 
 def clip(c: Column, lo: Column, hi: Column) -> Column:
@@ -73,8 +81,13 @@ def fraction_of(key: Column) -> Column:
 
 
 def fingerprint(c: Iterable[Column]) -> Column:
-    """Order-insensitive content hash of a table: the sum of a 60-bit prefix of each row's MD5."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("~")) for x in c]))
+    """Order-insensitive content hash of a table: the sum of a 60-bit prefix of each row's MD5.
+
+    Every value is hashed behind its length and a null as ``n``, so that different rows never read alike.
+    """
+    texts = [x.cast("string") for x in c]
+    sized = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    row = F.md5(F.concat(*sized))
     return F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)"))
 
 

@@ -34,10 +34,10 @@ def bin_edges(reference: DataFrame, columns: Sequence[str]) -> dict[str, list[fl
 
 
 def bin_of(column: str, edges: Sequence[float] | None) -> Column:
-    """Bin label: the number of edges at or below a number, the text of a category, ``null`` for null."""
+    """Bin label: the number of edges at or below a number, ``=`` and the text of a category, ``null`` for null."""
     c = F.col(column)
     if edges is None:
-        label = c.cast("string")
+        label = F.concat(F.lit("="), c.cast("string"))
     else:
         index = F.lit(0)
         for e in edges:

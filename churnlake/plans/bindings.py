@@ -126,11 +126,12 @@ VIEWS["raw"] = """
 SELECT customer_id,
   CASE customer_id % 7 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'Y' WHEN 3 THEN '0'
                        WHEN 4 THEN 'TRUE' WHEN 5 THEN NULL ELSE '1' END AS children,
-  CASE customer_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(CAST(months AS INT) AS STRING) END AS tenure,
-  CASE WHEN customer_id % 9 = 0 THEN 'abc' ELSE CAST(CAST(mou AS BIGINT) AS STRING) || '.5' END AS minutes_of_use,
-  CASE customer_id % 6 WHEN 0 THEN ' Rural ' WHEN 1 THEN 'nan' WHEN 2 THEN 'None' WHEN 3 THEN 'URBAN'
-                       WHEN 4 THEN '  ' ELSE 'town' END AS prizm,
-  CASE customer_id % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN 'maybe'
+  CASE customer_id % 15 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL WHEN 2 THEN 'nan' WHEN 3 THEN '1e10' WHEN 4 THEN '-inf'
+                        WHEN 5 THEN '1e30' ELSE CAST(CAST(months AS INT) AS STRING) END AS tenure,
+  CASE WHEN customer_id % 9 = 0 THEN 'abc' WHEN customer_id % 9 = 1 THEN 'NaN' ELSE CAST(CAST(mou AS BIGINT) AS STRING) || '.5' END AS minutes_of_use,
+  CASE customer_id % 6 WHEN 0 THEN concat(chr(9), 'Rural', chr(10)) WHEN 1 THEN 'nan' WHEN 2 THEN 'None' WHEN 3 THEN 'URBAN'
+                       WHEN 4 THEN concat(' ', chr(9)) ELSE ' town ' END AS prizm,
+  CASE customer_id % 6 WHEN 0 THEN concat(chr(9), 'Yes') WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN 'maybe'
                        WHEN 4 THEN NULL ELSE 'No ' END AS churndep,
   'junk' AS x
 FROM {w}

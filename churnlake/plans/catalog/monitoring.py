@@ -221,13 +221,18 @@ def _(spark, sf):
 @query(
     "latest_status",
     """SELECT event_type AS monitor, arg_max(CASE WHEN value > 200 THEN 'CRITICAL' WHEN value > 100 THEN 'WARNING'
-      ELSE 'STABLE' END, ts) AS status, max(ts) AS last_ts, max(CASE WHEN value <= 200 THEN ts END) AS last_success
+      ELSE 'STABLE' END, {'t': date_trunc('hour', ts), 'i': event_id}) AS status, max(date_trunc('hour', ts)) AS last_ts,
+    max(CASE WHEN value <= 200 THEN date_trunc('hour', ts) END) AS last_success
   FROM events GROUP BY event_type""",
 )
 def _(spark, sf):
     value = F.col("value")
     status = F.when(value > 200, "CRITICAL").when(value > 100, "WARNING").otherwise("STABLE")
     checks = view(spark, sf, "events").select(
-        F.col("event_type").alias("monitor"), "ts", status.alias("status"), (value <= 200).alias("ok")
+        F.col("event_type").alias("monitor"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),  # many checks at one time
+        "event_id",
+        status.alias("status"),
+        (value <= 200).alias("ok"),
     )
-    return wn.latest_status(checks, "monitor", "ts")
+    return wn.latest_status(checks, "monitor", "ts", tie=["event_id"]).drop("event_id")

@@ -76,8 +76,9 @@ def _(spark, sf):
 
 @query(
     "coerce_numeric",
-    f"""{RAW_SQL} SELECT customer_id, CAST(trunc(coalesce(TRY_CAST(tenure AS DOUBLE), 0)) AS INTEGER) AS months,
-  TRY_CAST(minutes_of_use AS DOUBLE) AS mou FROM raw""",
+    f"""{RAW_SQL} SELECT customer_id, coalesce(CASE WHEN abs(TRY_CAST(tenure AS DOUBLE)) < 9e18 THEN
+    CAST(trunc(TRY_CAST(tenure AS DOUBLE)) AS BIGINT) END, 0) AS months,
+  CASE WHEN NOT isnan(TRY_CAST(minutes_of_use AS DOUBLE)) THEN TRY_CAST(minutes_of_use AS DOUBLE) END AS mou FROM raw""",
 )
 def _(spark, sf):
     raw = nz.canonical_rename(view(spark, sf, "raw"))
@@ -87,7 +88,8 @@ def _(spark, sf):
 @query(
     "clean_category",
     f"""{RAW_SQL} SELECT customer_id,
-  nullif(lower(trim(CASE WHEN prizm IN ('nan', 'None') THEN '' ELSE prizm END)), '') AS prizm_cluster FROM raw""",
+  nullif(lower(regexp_replace(CASE WHEN prizm IN ('nan', 'None') THEN '' ELSE prizm END, '{scalars.WHITE_ENDS}', '', 'g')), '')
+    AS prizm_cluster FROM raw""",
 )
 def _(spark, sf):
     raw = nz.canonical_rename(view(spark, sf, "raw"))
@@ -200,7 +202,7 @@ def _(spark, sf):
 
 @query(
     "encode_target",
-    f"{RAW_SQL} SELECT customer_id, CASE WHEN trim(churndep) IN ('True', 'Yes', 'true', 'yes', '1') THEN 1 ELSE 0 END "
+    f"{RAW_SQL} SELECT customer_id, CASE WHEN regexp_replace(churndep, '{scalars.WHITE_ENDS}', '', 'g') IN ('True', 'Yes', 'true', 'yes', '1') THEN 1 ELSE 0 END "
     "AS churn FROM raw",
 )
 def _(spark, sf):

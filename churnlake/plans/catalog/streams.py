@@ -60,10 +60,12 @@ def _run_drift(spark, sf):
     """Stream the live half of the events against the reference half."""
     label = F.col("label").cast("string").alias("label")
     reference = view(spark, sf, "drift").where("side = 'ref'").select("value", "event_type", label)
+    # The label as the view of the events defines it.
+    live_label = F.when((F.col("ts") >= F.expr(_SPLIT)) | (F.col("event_id") % 5 == 0), 1).otherwise(0)
     live = (
         _events(spark, sf)
         .where(F.col("ts") >= F.expr(_SPLIT))
-        .select("ts", "value", "event_type", F.lit("1").alias("label"))
+        .select("ts", "value", "event_type", live_label.cast("string").alias("label"))
     )
     root = scratch_path(spark, "drift")
     fl.run(fl.monitor_drift(live, reference, _COLUMNS, root, target="label"))
@@ -164,17 +166,23 @@ def _(spark, sf):
 @query(
     "stream_status",
     """SELECT event_type AS monitor, arg_max(CASE WHEN value > 200 THEN 'CRITICAL' WHEN value > 100 THEN 'WARNING'
-      ELSE 'STABLE' END, ts) AS status, max(ts) AS last_ts, max(CASE WHEN value <= 200 THEN ts END) AS last_success
+      ELSE 'STABLE' END, {'t': date_trunc('hour', ts), 'i': event_id}) AS status, max(date_trunc('hour', ts)) AS last_ts,
+    max(CASE WHEN value <= 200 THEN date_trunc('hour', ts) END) AS last_success
   FROM events GROUP BY event_type""",
 )
 def _(spark, sf):
     value = F.col("value")
     status = F.when(value > 200, "CRITICAL").when(value > 100, "WARNING").otherwise("STABLE")
     checks = wn.event_time(_events(spark, sf), "ts").select(
-        F.col("event_type").alias("monitor"), "ts", status.alias("status"), (value <= 200).alias("ok")
+        F.col("event_type").alias("monitor"),
+        F.date_trunc("hour", "ts").alias("ts"),
+        "event_id",
+        status.alias("status"),
+        (value <= 200).alias("ok"),
     )
-    latest = wn.latest_status(checks, "monitor", "ts")
+    latest = wn.latest_status(checks, "monitor", "ts", tie=["event_id"])
     root = scratch_path(spark, "status")
     fl.run(fl.write_batches(latest, root, lambda batch: {"status": batch}, mode="update"))
     # Every batch repeats the monitors it changed; the newest row of each is its status.
-    return wn.plain_times(st.one_per_key(fl.written(spark, root, "status", latest.schema), ["monitor"], ["last_ts"], last=True))
+    told = fl.written(spark, root, "status", latest.schema)
+    return wn.plain_times(st.one_per_key(told, ["monitor"], ["last_ts", "event_id"], last=True)).drop("event_id")

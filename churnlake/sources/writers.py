@@ -22,15 +22,16 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def write_snapshot(df: DataFrame, root: str, snapshot_id: str, source: str) -> DataFrame:
-    """Write a timestamped snapshot, refresh the backup copy from it, and append its metadata.
+    """Write a timestamped snapshot, publish a backup version from it, and append its metadata.
 
-    The source is read once; backup and metadata come from the written snapshot.
+    The source is read once; backup and metadata come from the written snapshot.  The last backup stays the current
+    one (see :func:`current`) until the new one is complete.
     """
     spark = df.sparkSession
     path = f"{root}/snapshots/snapshot_id={snapshot_id}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    written.write.mode("overwrite").parquet(f"{root}/backup")
+    publish(written, f"{root}/backup", snapshot_id)
     entry = content_fingerprint(written).select(
         F.lit(snapshot_id).alias("snapshot_id"),
         F.current_timestamp().alias("written_at"),

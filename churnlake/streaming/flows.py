@@ -20,7 +20,7 @@ from ..operators import quality as ql
 from ..operators.normalize import normalize_records
 from ..operators.ranking import small_side
 from ..plans.scoring import score_rows
-from ..session import scratch_path, stage
+from ..session import scratch_path
 from . import windows as wn
 
 
@@ -43,11 +43,18 @@ def write_batches(
     trigger: Mapping[str, object] | None = None,
     mode: str = "append",
 ) -> StreamingQuery:
-    """Write the frames that ``sinks`` derives from each micro-batch to ``root/<name>/batch=<n>``."""
+    """Write the frames that ``sinks`` derives from each micro-batch to ``root/<name>/batch=<n>``.
+
+    A micro-batch is kept while its sinks are written, so that it runs once, and released afterwards.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, df in sinks(batch).items():
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        batch = batch.persist()
+        try:
+            for name, df in sinks(batch).items():
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint").foreachBatch(write)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -91,9 +98,7 @@ def monitor_drift(
     shares = small_side(dr.reference_bins(reference, bins), "reference-bins")
 
     def sinks(batch: DataFrame) -> Mapping[str, DataFrame]:
-        # Each use of a micro-batch would run it again, so counts and scores are written once.
-        counts = stage(batch, "window-counts")
-        scored = stage(dr.psi_of_groups(counts, shares, ["window_start", "window_end"]), "window-psi")
+        scored = dr.psi_of_groups(batch, shares, ["window_start", "window_end"])
         return {"psi": scored, "summary": window_summaries(scored, target), "alerts": window_alerts(scored, target)}
 
     return write_batches(drift_counts(live, bins, watermark=watermark), root, sinks, trigger)
@@ -136,20 +141,17 @@ def ingest_records(
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Normalise raw records and split them into ``good`` and ``quarantine``, with a ``log`` row per batch.
-
-    The checked batch is written once and both sides are read from it.
     """
     checked = ql.with_errors(normalize_records(stream), which)
 
     def sinks(batch: DataFrame) -> Mapping[str, DataFrame]:
-        done = stage(batch, "ingest")
         bad = F.size("errors") > 0
-        log = done.agg(
+        log = batch.agg(
             F.count(F.lit(1)).alias("records_processed"),
             F.count(F.when(~bad, 1)).alias("records_saved"),
             F.count(F.when(bad, 1)).alias("records_failed"),
         ).select(F.lit(source).alias("source"), "*", F.current_timestamp().alias("ts"))
-        return {"good": done.where(~bad).drop("errors"), "quarantine": done.where(bad), "log": log}
+        return {"good": batch.where(~bad).drop("errors"), "quarantine": batch.where(bad), "log": log}
 
     return write_batches(checked, root, sinks, trigger)
 

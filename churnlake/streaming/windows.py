@@ -64,9 +64,13 @@ def sliding_counts(
     return _flat(slid)
 
 
-def latest_status(checks: DataFrame, monitor: str, ts: str, ok: Column | str = "ok") -> DataFrame:
-    """Last status, its time, and the last time a check succeeded, per monitor."""
+def latest_status(checks: DataFrame, monitor: str, ts: str, ok: Column | str = "ok", tie: Sequence[str] = ()) -> DataFrame:
+    """Last status, its time, and the last time a check succeeded, per monitor.
+
+    Of checks at one time the greatest ``tie`` columns count, and then the greatest status; they are returned too.
+    """
     ok = F.col(ok) if isinstance(ok, str) else ok
     return checks.groupBy(monitor).agg(
-        F.max_by("status", ts).alias("status"), F.max(ts).alias("last_ts"), F.max(F.when(ok, F.col(ts))).alias("last_success")
-    )
+        F.max(F.struct(F.col(ts).alias("last_ts"), *tie, "status")).alias("_last"),
+        F.max(F.when(ok, F.col(ts))).alias("last_success"),
+    ).select(monitor, "_last.*", "last_success")
