@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +54,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return names.join(found, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
-def feature_types(df: DataFrame, target: str, exclude: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """``(column_name, kind, n_distinct)``: two-valued numbers are binary, other numbers continuous.
+def feature_types(df: DataFrame, target: str, exclude: Sequence[str] = (), counts: str | None = None) -> DataFrame:
+    """``(column_name, kind)``: two-valued numbers are binary, other numbers continuous.
 
-    ``approximate`` estimates the counts, which saves the shuffle of all distinct values; the kinds
-    stay exact, as a number is two-valued when none differs from both its minimum and its maximum.
+    A number is two-valued when none differs from both its minimum and its maximum, which takes two aggregates and
+    no shuffle of values.  ``counts`` adds ``n_distinct``, ``"exact"`` or ``"approximate"``.
     """
     names = [c for c in df.columns if c != target and c not in exclude]
     numeric = [c for c, t in df.dtypes if is_numeric(t) and c in names]
-    counts = distinct_counts(df, names, approximate)
-    two = F.col("n_distinct") == 2
-    if approximate:
-        two = F.col("column").isin(*_two_valued(df, numeric))
-    kind = F.when(~F.col("column").isin(*numeric), "categorical").when(two, "binary").otherwise("continuous")
-    return counts.select(F.col("column").alias("column_name"), kind.alias("kind"), "n_distinct")
+    two = set(_two_valued(df, numeric))
+    rows = [(c, "categorical" if c not in numeric else "binary" if c in two else "continuous") for c in names]
+    kinds = df.sparkSession.createDataFrame(rows, "column_name string, kind string")
+    if counts is None:
+        return kinds
+    found = distinct_counts(df, names, counts == "approximate")
+    return kinds.join(found.withColumnRenamed("column", "column_name"), "column_name")
 
 
 def _two_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -83,25 +86,39 @@ def _two_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample covariance and correlation of every column pair, in one aggregate."""
+    """``(first, second, covariance, correlation)`` of every column pair, over the rows where both hold a number.
+
+    After one aggregate of the means, one pass sums the centred values, squares and products of all pairs at once as
+    matrix products; a task sends on one row per pair.
+    """
     columns = list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(
-        *[F.covar_samp(a, b).alias(f"v{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("first"),
-                F.lit(b).alias("second"),
-                F.col(f"v{i}").alias("covariance"),
-                F.col(f"r{i}").alias("correlation"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    first, second = np.triu_indices(len(columns), 1)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(first)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float) - centre
+            known = np.isfinite(x)
+            x, k = np.where(known, x, 0.0), known.astype(float)
+            for i, m in enumerate((k.T @ k, x.T @ k, k.T @ x, (x * x).T @ k, k.T @ (x * x), x.T @ x)):
+                sums[i] += m[first, second]
+        rows = [pa.array(first.astype("i4")), pa.array(second.astype("i4")), *[pa.array(s) for s in sums]]
+        yield pa.RecordBatch.from_arrays(rows, ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    typed = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = typed.mapInArrow(moments, "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double")
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    names = F.array(*[F.lit(c) for c in columns])
+    spread = F.expr("sqrt((saa - sa * sa / n) * (sbb - sb * sb / n))")
+    together = F.expr("sab - sa * sb / n")
+    return total.select(
+        names[F.col("a")].alias("first"),
+        names[F.col("b")].alias("second"),
+        F.when(F.col("n") > 1, together / (F.col("n") - 1)).alias("covariance"),
+        F.when(F.col("n") > 1, F.try_divide(together, spread)).alias("correlation"),
     )
-    return one.select(F.inline(rows))
 
 
 def distribution_diff(reference: DataFrame, live: DataFrame, column: str, mode: str = "complete") -> DataFrame:

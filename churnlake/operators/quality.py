@@ -261,6 +261,19 @@ def schema_drift(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     return _as_rows(df, entries, ["column_name", "expected", "actual", "verdict"], "filled_rows")
 
 
+def schema_check(df: DataFrame, schemas: DataFrame, model_type: str, version: str) -> DataFrame:
+    """:func:`schema_drift` of ``df`` against the registered schema of a model version.
+
+    ``schemas`` holds one row per declared column: ``model_type, schema_name, created_at, column_name, dtype``.  The
+    version's schema is found by :func:`resolve_schema`; only its column list reaches the driver.
+    """
+    request = schemas.sparkSession.createDataFrame([(model_type, version)], "model_type string, version string")
+    named = schemas.select("model_type", "schema_name", "created_at").distinct()
+    found = resolve_schema(named, request).select("model_type", "schema_name")
+    declared = schemas.join(found, ["model_type", "schema_name"]).select("column_name", "dtype").collect()
+    return schema_drift(df, {r["column_name"]: r["dtype"] for r in declared})
+
+
 def resolve_schema(registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Find the schema of each requested ``(model_type, version)``.
 

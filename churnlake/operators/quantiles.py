@@ -18,140 +18,84 @@ def is_numeric(kind: str) -> bool:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    direct_values: int = 250_000,
-    accuracy: int = 2_000,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 1024
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles, null and NaN skipped; ``None`` for a column without values.
 
-    Columns with few distinct values go through one ``percentile`` aggregate.  For the others the
-    order statistics around each quantile are located by narrowing: a sketch proposes an interval,
-    one counting pass checks that it holds the wanted ranks, and the interval shrinks until the
-    values inside are few.  Every pass is a column-pruned aggregate; no rows are shuffled.
+    Every wanted order statistic sits in an interval of values.  One pass counts the values of each interval in
+    equal bins, with the least and greatest value of every bin, and the bin that holds the rank becomes the next
+    interval, until it is one value or the rank is at its end.  State and results of a pass are ``bins`` rows per
+    interval, whatever the data; no rows are shuffled.
     """
-    columns = list(columns)
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    # The state of the exact aggregate never exceeds the row count, so small data needs no sketch.
-    head = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = {c: head[f"n{i}"] for i, c in enumerate(columns)}
-    large = [c for c in columns if counts[c] > direct_values]
-    if large:
-        row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(large)]).first()
-        large = [c for i, c in enumerate(large) if row[f"d{i}"] > direct_values]
+    ends = []
+    for i, c in enumerate(columns):
+        v = _value(c)
+        ends += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    row = df.agg(*ends).first()
+    whole = {c: _Interval(c, row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"]) for i, c in enumerate(columns)}
+    positions = {c: [p * (whole[c].size - 1) for p in probabilities] for c in columns if whole[c].size}
+    held = {(c, r): whole[c] for c, many in positions.items() for p in many for r in (math.floor(p), math.ceil(p))}
+    while open_ := sorted({h for (_, r), h in held.items() if h.pick(r) is None}):
+        cells = _counted(df, open_, bins)
+        for (c, r), h in held.items():
+            if h.pick(r) is None:
+                held[c, r] = next(cell for cell in cells[h] if r < cell.below + cell.size)
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    small = [c for c in columns if counts[c] and c not in large]
-    if small:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(_value(c), probs).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
-    wanted = [_Box(c, p * (counts[c] - 1), counts[c]) for c in large for p in probabilities]
-    for start in range(0, len(wanted), _BOXES_PER_PASS):
-        _narrow(df, wanted[start : start + _BOXES_PER_PASS], direct_values, accuracy)
-    for i, c in enumerate(large):
-        boxes = wanted[i * len(probabilities) : (i + 1) * len(probabilities)]
-        out[c] = [b.value for b in boxes]
+    for c, many in positions.items():
+        low, high = ([held[c, f(p)].pick(f(p)) for p in many] for f in (math.floor, math.ceil))
+        out[c] = [a if a == z else a + (p - math.floor(p)) * (z - a) for p, a, z in zip(many, low, high)]
     return out
 
 
 def _value(column: str) -> Column:
+    """The finite numbers of a column; infinities count as the greatest double."""
     c = F.col(column).cast("double")
-    return F.when(~F.isnan(c), c)
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.least(c, F.lit(_MOST)), F.lit(-_MOST)))
 
 
-# Sketches held by one aggregate at a time.
-_BOXES_PER_PASS = 64
+_MOST = 1.7976931348623157e308
 
 
-@dataclass
-class _Box:
-    """An interval ``[lo, hi]`` known to hold the order statistics on both sides of a position."""
+@dataclass(frozen=True, order=True)
+class _Interval:
+    """All values of a column from ``lo`` to ``hi``: how many there are, and how many lie below."""
 
     column: str
-    position: float
+    lo: float
+    hi: float
+    below: int
     size: int
-    below: int = 0
-    lo: float = -math.inf
-    hi: float = math.inf
-    few: bool = False
-    value: float | None = None
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
-
-    def inside(self) -> Column:
-        c = _value(self.column)
-        return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
-
-    def share(self, rank: int) -> float:
-        """The middle of a rank's step in the distribution of the values inside."""
-        return (rank - self.below + 0.5) / self.size
-
-
-def _narrow(df: DataFrame, boxes: Sequence[_Box], direct_values: int, accuracy: int) -> None:
-    """Find the value of every box."""
-    while True:
-        ready = [b for b in boxes if b.value is None and b.few]
-        if ready:
-            _pick(df, ready)
-        still = [b for b in boxes if b.value is None]
-        if not still:
-            return
-        # Propose: the sketch is within size / accuracy ranks of the truth.
-        proposals = []
-        for i, b in enumerate(still):
-            first, last = (b.share(r) for r in b.ranks)
-            ends = [F.lit(max(0.0, first - 2.0 / accuracy)), F.lit(min(1.0, last + 2.0 / accuracy))]
-            proposals.append(F.percentile_approx(b.inside(), F.array(*ends), accuracy).alias(f"e{i}"))
-        row = df.agg(*proposals).first()
-        tried = [(float(row[f"e{i}"][0]), float(row[f"e{i}"][1])) for i in range(len(still))]
-        # Check: how many values lie below and inside, and how many distinct ones inside.
-        checks = []
-        for i, (b, (lo, hi)) in enumerate(zip(still, tried)):
-            c = _value(b.column)
-            within = (c >= lo) & (c <= hi)
-            checks += [
-                F.count(F.when(c < lo, 1)).alias(f"b{i}"),
-                F.count(F.when(within, 1)).alias(f"s{i}"),
-                F.approx_count_distinct(F.when(within, c)).alias(f"d{i}"),
-            ]
-        row = df.agg(*checks).first()
-        progress = False
-        for i, (b, (lo, hi)) in enumerate(zip(still, tried)):
-            below, size = row[f"b{i}"], row[f"s{i}"]
-            if not (below <= b.ranks[0] and b.ranks[1] < below + size):
-                continue
-            progress = progress or lo == hi or size < b.size
-            b.lo, b.hi, b.below, b.size = lo, hi, below, size
-            b.few = row[f"d{i}"] <= direct_values
-            if lo == hi:
-                b.value = lo
-                progress = True
-            progress = progress or b.few
-        if not progress:
-            accuracy *= 10
-
-
-def _pick(df: DataFrame, boxes: Sequence[_Box]) -> None:
-    """Exact order statistics inside intervals with few distinct values, then the interpolation."""
-    picks = []
-    for i, b in enumerate(boxes):
-        lo, hi = (f"double('{e!r}')".replace("inf", "Infinity") for e in (b.lo, b.hi))
-        v = f"CAST(`{b.column}` AS DOUBLE)"
-        for tag, rank in zip("ab", b.ranks):
-            picks.append(
-                F.expr(
-                    f"percentile_disc({b.share(rank)!r}D) WITHIN GROUP "
-                    f"(ORDER BY CASE WHEN NOT isnan({v}) AND {v} >= {lo} AND {v} <= {hi} THEN {v} END)"
-                ).alias(f"{tag}{i}")
-            )
-    row = df.agg(*picks).first()
-    for i, b in enumerate(boxes):
-        a, z = row[f"a{i}"], row[f"b{i}"]
-        b.value = a + (b.position - b.ranks[0]) * (z - a)
+
+    def pick(self, rank: int) -> float | None:
+        """The order statistic, if it can be told."""
+        if self.lo == self.hi or rank == self.below:
+            return self.lo
+        return self.hi if rank == self.below + self.size - 1 else None
+
+
+def _counted(df: DataFrame, intervals: Sequence[_Interval], bins: int) -> dict[_Interval, list[_Interval]]:
+    """The non-empty bins of each interval, ascending.  Bins are monotone in the value, so the least and greatest
+    value of a bin enclose no value of another."""
+    spark = df.sparkSession
+    rows = [(i, h.column, h.lo, h.hi) for i, h in enumerate(intervals)]
+    # One row per wanted rank at most, so the broadcast is as long as the caller's list.
+    sides = F.broadcast(spark.createDataFrame(rows, "i int, column string, lo double, hi double"))
+    names = sorted({h.column for h in intervals})
+    long = df.select(*[_value(c).alias(c) for c in names]).unpivot([], names, "column", "value")
+    inside = long.join(sides, "column").where("value between lo and hi")
+    place = F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
+    counted = inside.groupBy("i", F.least(place, F.lit(bins - 1)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    out: dict[_Interval, list[_Interval]] = {h: [] for h in intervals}
+    for r in sorted(counted.collect()):
+        h = intervals[r["i"]]
+        below = out[h][-1].below + out[h][-1].size if out[h] else h.below
+        out[h].append(_Interval(h.column, r["lo"], r["hi"], below, r["n"]))
+    return out
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:

@@ -66,10 +66,32 @@ _TYPED = ["nationkey", *NUMBERS, *FLAGS, *TEXTS]
     ),
 )
 def _(spark, sf):
-    return pf.feature_types(wide(spark, sf), "churn", exclude=["customer_id"])
+    return pf.feature_types(landed(spark, sf), "churn", exclude=["customer_id"], counts="exact")
+
+
+@query(
+    "feature_kinds",
+    f"{W_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, "
+        + ("max('categorical')" if c in TEXTS else f"CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' ELSE 'continuous' END")
+        + " AS kind FROM w"
+        for c in _TYPED
+    ),
+)
+def _(spark, sf):
+    return pf.feature_types(landed(spark, sf), "churn", exclude=["customer_id"])
+
+
+_PAIRED = NUMBERS
+
+
+def _short(e: str) -> str:
+    """Eight leading digits, as covariances differ by many powers of ten; a constant column has 0."""
+    power = f"pow(10e0, floor(log10(abs({e}))) - 7)"
+    return r6(f"CASE WHEN abs({e}) < 1e-6 THEN 0e0 ELSE round({e} / {power}) * {power} END")
 
 
-_PAIRED = ["revenue", "mou", "overage", "months", "eqpdays", "outcalls"]
 _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
 
 
@@ -77,16 +99,17 @@ _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
     "correlation_pairs",
     f"{W_SQL} "
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS first, '{b}' AS second, ROUND(covar_samp({a}, {b}), 2) + CAST(0 AS DOUBLE) AS covariance, "
+        f"SELECT '{a}' AS first, '{b}' AS second, {_short(f'covar_samp({a}, {b})')} AS covariance, "
         f"{r6(f'corr({a}, {b})')} AS correlation FROM w"
         for a, b in _PAIRS
     ),
 )
 def _(spark, sf):
-    out = pf.correlation_pairs(wide(spark, sf, _PAIRED), _PAIRED)
-    return out.withColumns(
-        {"covariance": F.round("covariance", 2) + F.lit(0.0), "correlation": _r6(F.col("correlation"))}
-    )
+    out = pf.correlation_pairs(landed(spark, sf, _PAIRED), _PAIRED)
+    covariance = F.coalesce(F.col("covariance"), F.lit(0.0))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(covariance))) - 7)
+    short = F.when(F.abs(covariance) < 1e-6, 0.0).otherwise(F.round(covariance / power) * power)
+    return out.withColumns({"covariance": _r6(short), "correlation": _r6(F.col("correlation"))})
 
 
 _SIDES = """a AS (SELECT event_type AS v, count(*) * 1e0 / (SELECT count(*) FROM drift WHERE side = 'ref' AND label = 1) AS s

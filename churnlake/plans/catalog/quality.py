@@ -9,7 +9,7 @@ from ...functions.scalars import r6 as _r6
 from ...operators import quality as ql
 from ..bindings import view, wide
 from .base import query, r6
-from .shared import FLAGS, NUMBERS, W_SQL, landed
+from .shared import FLAGS, NUMBERS, TEXTS, W_SQL, landed
 
 # Columns of the contract that the bound table has, plus one declared but absent.
 _CONTRACT = {
@@ -72,6 +72,14 @@ def _(spark, sf):
     return ql.contract_report(wide(spark, sf), _CONTRACT)
 
 
+_DECLARED_SHORT = [c for c in _CONTRACT if c in {*NUMBERS, *FLAGS, *TEXTS, "churn"}]
+
+
+@query("contract_projection", f"{W_SQL} SELECT {', '.join(_DECLARED_SHORT)} FROM w")
+def _(spark, sf):
+    return ql.contract_projection(wide(spark, sf), _CONTRACT)
+
+
 @query(
     "validation_record",
     f"""{W_SQL}, r AS ({_CONTRACT_SQL}),
@@ -241,6 +249,28 @@ def _(spark, sf):
     return ql.schema_drift(wide(spark, sf), _DECLARED)
 
 
+@query(
+    "schema_check",
+    f"""{W_SQL} SELECT 'revenue' AS column_name, 'double' AS expected, 'double' AS actual, 'ok' AS verdict,
+    count(revenue) AS filled_rows FROM w
+  UNION ALL SELECT 'months', 'bigint', 'double', 'type_mismatch', count(months) FROM w
+  UNION ALL SELECT 'webcap', 'bigint', '', 'missing', 0""",
+)
+def _(spark, sf):
+    # Every order priority registers the schema of "model 7"; an older one and another model's must not count.
+    kinds = view(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("model_type")).agg(
+        F.max("o_orderdate").alias("newest"), F.min("o_orderdate").alias("oldest")
+    )
+
+    def named(name, when, columns):
+        listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype")) for c, t in columns.items()])
+        return kinds.select("model_type", F.lit(name).alias("schema_name"), F.col(when).alias("created_at"), F.inline(listed))
+
+    schemas = named("7_schema", "oldest", {"revenue": "numeric", "months": "integer", "webcap": "bigint"})
+    schemas = schemas.unionByName(named("other", "newest", {"segment": "text"}))
+    return ql.schema_check(wide(spark, sf), schemas, "1-URGENT", "7")
+
+
 # A registry with one schema per priority class and month, named in turn by each pattern.
 _REGISTRY = """SELECT o_orderpriority AS model_type,
     CASE month(o_orderdate) % 5 WHEN 0 THEN '{v}_schema' WHEN 1 THEN 'v{v}_schema' WHEN 2 THEN '{v}'

@@ -255,6 +255,38 @@ def _(spark, sf):
     return st.job_rollup(view(spark, sf, "jobs"))
 
 
+# Customers as parent jobs whose orders are the sub-jobs; some orders are still pending, and some customers have none.
+_PARENT = """CASE customer_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' ELSE 'queued' END"""
+
+
+@query(
+    "job_rollup_parents",
+    f"""WITH sub AS (SELECT o_custkey AS parent_id, CASE WHEN o_orderkey % 7 < 5 THEN 'completed' WHEN o_orderkey % 7 = 5
+      THEN CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'pending' END
+      ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'pending' END END AS status FROM orders),
+  r AS (SELECT parent_id, count(*) AS n, bool_and(status = 'completed') AS done, bool_or(status = 'failed') AS broken,
+    bool_or(status = 'running') AS active FROM sub GROUP BY parent_id),
+  p AS (SELECT c_custkey AS customer_id FROM customer)
+  SELECT customer_id AS job_id, coalesce(n, 0) AS sub_jobs, CASE WHEN done THEN 'completed' WHEN broken THEN 'failed'
+    WHEN active THEN 'running' ELSE {_PARENT} END AS status
+  FROM p LEFT JOIN r ON parent_id = customer_id""",
+)
+def _(spark, sf):
+    key = F.col("o_orderkey")
+    status = (
+        F.when(key % 7 < 5, "completed")
+        .when(key % 7 == 5, F.when(key % 2 == 0, "running").otherwise("pending"))
+        .otherwise(F.when(key % 5 == 0, "failed").otherwise("pending"))
+    )
+    listed = view(spark, sf, "orders").groupBy(F.col("o_custkey").alias("customer_id")).agg(
+        F.collect_list(F.struct(key.alias("job_id"), status.alias("status"))).alias("sub_jobs")
+    )
+    parents = view(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id")).join(listed, "customer_id", "left")
+    parents = parents.select(F.col("customer_id").alias("job_id"), F.expr(_PARENT).alias("status"), "sub_jobs")
+    rolled = st.rollup_with_parents(parents)
+    return rolled.withColumn("sub_jobs", F.coalesce(F.size(F.coalesce("sub_jobs", F.array())), F.lit(0)).cast("bigint"))
+
+
 @query(
     "list_jobs",
     f"""{_JOBS} SELECT j.*, (SELECT count(*) FROM jobs) AS total,

@@ -174,7 +174,7 @@ def test_feature_types_approximate_kinds_are_exact(spark):
     df = spark.createDataFrame([(1, 5.0, "x", 0, 7), (2, 5.0, "y", 1, 7), (3, 6.0, "x", 0, 7)], "a int, b double, c string, t int, k int")
     exact = {r["column_name"]: r["kind"] for r in pf.feature_types(df, "t").collect()}
     assert exact == {"a": "continuous", "b": "binary", "c": "categorical", "k": "continuous"}
-    assert exact == {r["column_name"]: r["kind"] for r in pf.feature_types(df, "t", approximate=True).collect()}
+    assert exact == {r["column_name"]: r["kind"] for r in pf.feature_types(df, "t", counts="exact").collect()}
 
 
 def test_comparison_of_a_set_with_itself(spark):
