@@ -6,6 +6,7 @@ parameters are keyed by column name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import fields, formulas, scalars
 from ..session import stage
 from .quantiles import INTEGRAL, column_modes, exact_quantiles, is_numeric
-from .ranking import broadcast_if_small, measured, running_totals
+from .ranking import measured, running_totals
 
 # Encoders up to this many classes travel inside the plan; larger ones are joined as a table.
 INLINE_CLASSES = 10_000
@@ -41,6 +42,12 @@ class Params:
     features: list[str] = field(default_factory=list)
     classes: dict[str, list[str]] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    variances: dict[str, float] = field(default_factory=dict)
+    dtypes: dict[str, str] = field(default_factory=dict)
+    target_classes: dict[str, int] = field(default_factory=dict)
+    samples: int = 0
+    # Encoders with too many classes for a list: a written table (column, value, code).
+    wide: DataFrame | None = None
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         """One row per fitted value."""
@@ -49,6 +56,10 @@ class Params:
         rows += [("class", c, str(i), v) for c, many in self.classes.items() for i, v in enumerate(many)]
         for c, (mean, scale) in self.scales.items():
             rows += [("scale", c, "mean", repr(mean)), ("scale", c, "scale", repr(scale))]
+        rows += [("variance", c, "", repr(v)) for c, v in self.variances.items()]
+        rows += [("dtype", c, "", t) for c, t in self.dtypes.items()]
+        rows += [("target", v, "", str(code)) for v, code in self.target_classes.items()]
+        rows += [("count", "samples", "", str(self.samples)), ("count", "features", "", str(len(self.features)))]
         return spark.createDataFrame(rows, PARAMS_SCHEMA)
 
     @staticmethod
@@ -64,6 +75,10 @@ class Params:
         ]
         for r in sorted((r for r in rows if r["step"] == "class"), key=lambda r: int(r["key"])):
             out.classes.setdefault(r["column"], []).append(r["value"])
+        out.variances = {r["column"]: float(r["value"]) for r in rows if r["step"] == "variance"}
+        out.dtypes = {r["column"]: r["value"] for r in rows if r["step"] == "dtype"}
+        out.target_classes = {r["column"]: int(r["value"]) for r in rows if r["step"] == "target"}
+        out.samples = next((int(r["value"]) for r in rows if r["step"] == "count" and r["column"] == "samples"), 0)
         means = {(r["column"], r["key"]): float(r["value"]) for r in rows if r["step"] == "scale"}
         out.scales = {c: (means[(c, "mean")], means[(c, "scale")]) for c, k in means if k == "mean"}
         return out
@@ -208,20 +223,47 @@ def fit_labels(df: DataFrame, columns: Sequence[str], inline: int = INLINE_CLASS
     return stage(ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code")), "classes")
 
 
+def fit_encoders(
+    df: DataFrame, columns: Sequence[str], inline: int = INLINE_CLASSES
+) -> tuple[dict[str, list[str]], DataFrame | None]:
+    """Lists of sorted classes for the columns with up to ``inline`` short ones, and a table of codes for the rest."""
+    columns = list(columns)
+    if not columns:
+        return {}, None
+    distinct = stage(distinct_values(df, columns), "distinct")
+    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+    few = [r["column"] for r in sizes.collect() if r["n"] <= inline and r["bytes"] <= INLINE_BYTES]
+    lists: dict[str, list[str]] = {c: [] for c in columns}
+    for r in distinct.where(F.col("column").isin(*few)).collect() if few else []:
+        lists[r["column"]].append(r["value"])
+    wide = distinct.where(~F.col("column").isin(*few)) if few else distinct
+    if wide.isEmpty():
+        return {c: sorted(v) for c, v in lists.items()}, None
+    ranked = running_totals(wide.withColumn("one", F.lit(1)), ["column"], ["value"], {"place": "one"})
+    table = stage(ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code")), "classes")
+    return {c: sorted(lists[c]) for c in few}, table
+
+
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot([], list(columns), "column", "value")
     return long.where(F.col("value").isNotNull()).distinct()
 
 
-def encode_labels(df: DataFrame, classes: Mapping[str, Sequence[str]] | DataFrame, columns: Sequence[str] | None = None):
-    """Replace each value by its class index; values without a class are -1."""
+def encode_labels(
+    df: DataFrame, classes: Mapping[str, Sequence[str]] | DataFrame, columns: Sequence[str] | None = None, bounded: bool = False
+):
+    """Replace each value by its class index; values without a class are -1.  No job runs.
+
+    A table of classes is joined column by column, and sent to all tasks only if ``bounded`` says that its columns
+    come from lists; otherwise Spark's own size estimates decide.
+    """
     if isinstance(classes, DataFrame):
         wanted = [c for c in (columns or df.columns) if c in df.columns]
         for c in wanted:
             codes = classes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
             df = (
-                df.join(broadcast_if_small(codes), F.col(c).cast("string") == F.col("_v"), "left")
+                df.join(F.broadcast(codes) if bounded else codes, F.col(c).cast("string") == F.col("_v"), "left")
                 .withColumn(c, F.coalesce("_code", F.lit(-1)))
                 .drop("_v", "_code")
             )
@@ -233,7 +275,7 @@ def encode_labels(df: DataFrame, classes: Mapping[str, Sequence[str]] | DataFram
     if long:
         rows = [(c, v, i) for c in long for i, v in enumerate(classes[c])]
         table = df.sparkSession.createDataFrame(rows, "column string, value string, code int")
-        df = encode_labels(df, table, long)
+        df = encode_labels(df, table, long, bounded=True)
     return df
 
 
@@ -268,6 +310,19 @@ def fit_scale(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, f
     return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(columns) if row[f"m{i}"] is not None}
 
 
+def fit_moments(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, tuple[float, float]], dict[str, float], int]:
+    """Scales as :func:`fit_scale` has them, population variances, and the number of rows, in one aggregate."""
+    columns = list(columns)
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+    ).first()
+    known = [(i, c) for i, c in enumerate(columns) if row[f"m{i}"] is not None]
+    scales = {c: (row[f"m{i}"], math.sqrt(row[f"v{i}"]) or 1.0) for i, c in known}
+    return scales, {c: row[f"v{i}"] for i, c in known}, row["n"]
+
+
 def scale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns(
         {c: (F.col(c) - F.lit(mean)) / F.lit(size) for c, (mean, size) in scales.items() if c in df.columns}

@@ -390,6 +390,21 @@ def _(spark, sf):
     return _rounded(pp.apply_preprocess(df, params, keep=["customer_id"]), params.features)
 
 
+@query(
+    "preprocess_wide_labels",
+    """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS order_name,
+    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders""",
+)
+def _(spark, sf):
+    """An encoder with as many classes as orders, above the limit for lists, beside one with five."""
+    orders = view(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("order_name"), "o_orderpriority"
+    )
+    path, columns = scratch_path(spark, "params"), ["order_name", "o_orderpriority"]
+    pp.save_params(pp.fit_preprocess(orders, [], columns), spark, path)
+    return pp.apply_preprocess(orders, pp.load_params(spark, path), ["o_orderkey"], encode=columns)
+
+
 @query("artifacts_roundtrip", f"{_FIT_SQL} FROM d CROSS JOIN st")
 def _(spark, sf):
     df = landed(spark, sf)
