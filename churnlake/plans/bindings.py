@@ -142,7 +142,8 @@ SELECT o_custkey AS customer_id, o_orderdate AS ts,
   CASE WHEN min(o_orderkey) % 3 = 0 THEN 'api' WHEN min(o_orderkey) % 3 = 1 THEN 'csv' ELSE 'api_batch' END AS source,
   concat('BATCH_', CAST(year(o_orderdate) AS STRING), lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) AS batch_id,
   min(o_orderkey) AS record_id, min(o_totalprice) AS revenue,
-  CAST(min(o_orderkey) % 500 AS DOUBLE) AS mou, CAST(min(o_orderkey) % 2 AS INT) AS churn
+  CAST(min(o_orderkey) % 500 AS DOUBLE) AS mou, CAST(min(o_orderkey) % 2 AS INT) AS churn,
+  concat(chr(123), '"recchrge":', CAST(min(o_orderkey) % 90 AS STRING), ',"webcap":1', chr(125)) AS features
 FROM {orders} GROUP BY o_custkey, o_orderdate
 """
 
@@ -150,7 +151,8 @@ VIEWS["incoming"] = """
 SELECT o_custkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1000000 END AS customer_id,
   CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderdate END AS ts,
   'csv' AS source, 'BATCH_NEW' AS batch_id, o_orderkey AS record_id,
-  o_totalprice + 1 AS revenue, CAST(NULL AS DOUBLE) AS mou, 1 AS churn
+  o_totalprice + 1 AS revenue, CAST(NULL AS DOUBLE) AS mou, 1 AS churn,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat(chr(123), '"recchrge":', CAST(o_orderkey AS STRING), chr(125)) END AS features
 FROM {orders}
 """
 

@@ -16,7 +16,7 @@ from .shared import FLAGS, NUMBERS, W_SQL, landed
 _STORE = prelude("store")
 _LOGS = prelude("store", "logs")
 _BOTH = prelude("store", "incoming")
-_LAYOUT = "customer_id, ts, source, batch_id, record_id, revenue, mou, churn"
+_LAYOUT = "customer_id, ts, source, batch_id, record_id, revenue, mou, churn, features"
 
 
 # Store mutations
@@ -25,17 +25,18 @@ _LAYOUT = "customer_id, ts, source, batch_id, record_id, revenue, mou, churn"
 _UPSERTED = f"""{_BOTH},
   f AS (SELECT *, row_number() OVER (PARTITION BY customer_id, ts ORDER BY record_id) AS a,
     row_number() OVER (PARTITION BY customer_id, ts ORDER BY record_id DESC) AS z FROM incoming WHERE ts IS NOT NULL),
-  i AS (SELECT p.customer_id, p.ts, p.source, p.batch_id, p.record_id, q.revenue, q.mou, q.churn
+  i AS (SELECT p.customer_id, p.ts, p.source, p.batch_id, p.record_id, q.revenue, q.mou, q.churn, q.features
     FROM f p JOIN f q ON p.customer_id = q.customer_id AND p.ts = q.ts WHERE p.a = 1 AND q.z = 1)
   SELECT s.customer_id, s.ts, s.source, s.batch_id, s.record_id,
     CASE WHEN i.ts IS NULL THEN s.revenue ELSE i.revenue END AS revenue,
     CASE WHEN i.ts IS NULL THEN s.mou ELSE i.mou END AS mou,
-    CASE WHEN i.ts IS NULL THEN s.churn ELSE i.churn END AS churn
+    CASE WHEN i.ts IS NULL THEN s.churn ELSE i.churn END AS churn,
+    CASE WHEN i.ts IS NULL THEN s.features ELSE i.features END AS features
   FROM store s LEFT JOIN i ON i.customer_id = s.customer_id AND i.ts = s.ts
   UNION ALL SELECT {_LAYOUT} FROM i WHERE NOT EXISTS
     (SELECT 1 FROM store s WHERE s.customer_id = i.customer_id AND s.ts = i.ts)
   UNION ALL SELECT {_LAYOUT} FROM incoming WHERE ts IS NULL"""
-_UPDATES = ["revenue", "mou", "churn"]
+_UPDATES = ["revenue", "mou", "churn", "features"]
 
 
 @query("store_upsert", _UPSERTED)
