@@ -8,7 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REGISTRY_SCHEMA = "model_type string, version string, path string, metrics map<string,double>, created_at timestamp"
+REGISTRY_SCHEMA = (
+    "model_type string, version string, path string, metrics map<string,double>, threshold double, created_at timestamp"
+)
 
 
 def training_schema_record(
@@ -33,13 +35,22 @@ def training_schema_record(
 
 
 def register_model(
-    model: PipelineModel, root: str, model_type: str, version: str, metrics: Mapping[str, float], spark: SparkSession
+    model: PipelineModel,
+    root: str,
+    model_type: str,
+    version: str,
+    metrics: Mapping[str, float],
+    spark: SparkSession,
+    threshold: float = 0.5,
 ) -> str:
-    """Save a model under a new version and append its registry row."""
+    """Save a model under a new version and append its registry row, with the decision threshold fitted for it."""
     path = f"{root}/models/{model_type}/{version}"
     model.save(path)
     values = {k: float(v) for k, v in metrics.items() if v is not None}
-    row = spark.createDataFrame([(model_type, version, path, values)], "model_type string, version string, path string, metrics map<string,double>")
+    row = spark.createDataFrame(
+        [(model_type, version, path, values, float(threshold))],
+        "model_type string, version string, path string, metrics map<string,double>, threshold double",
+    )
     row.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/registry")
     return path
 
@@ -66,7 +77,12 @@ def list_models(models: DataFrame) -> DataFrame:
 
 
 def load_latest(spark: SparkSession, root: str, model_type: str) -> PipelineModel:
+    return load_scorer(spark, root, model_type)[0]
+
+
+def load_scorer(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel, float]:
+    """The newest model of a type and its decision threshold."""
     row = latest_models(registry(spark, root)).where(F.col("model_type") == model_type).first()
     if row is None:
         raise LookupError(f"no registered model of type {model_type}")
-    return PipelineModel.load(row["path"])
+    return PipelineModel.load(row["path"]), 0.5 if row["threshold"] is None else row["threshold"]
