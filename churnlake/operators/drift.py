@@ -122,6 +122,27 @@ def ks(reference: DataFrame, live: DataFrame, columns: Sequence[str]) -> DataFra
     )
 
 
+def ks_of_groups(counts: DataFrame, reference: DataFrame, sizes: Mapping[str, int], keys: Sequence[str]) -> DataFrame:
+    """``(keys…, feature, ks, shifted)`` of the numeric features of each group, from bin counts ``(keys…, feature, bin, n)``.
+
+    The distance is taken at the reference deciles, the bins' edges, so it never exceeds the one over all values.
+    ``sizes`` has the number of reference values per numeric feature; nulls are left out.
+    """
+    numbered = F.col("bin").rlike("^[0-9]+$")
+    entry = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), F.col(c))))
+    ref = reference.where(numbered).groupBy("feature").agg(entry("ref_share").alias("ref"), F.sum("ref_share").alias("whole"))
+    listed = reference.sparkSession.createDataFrame(list(sizes.items()), "feature string, m bigint")
+    ref = F.broadcast(ref.join(listed, "feature"))  # one row per column listed by the caller
+    live = counts.where(numbered).groupBy(*keys, "feature").agg(entry("n").alias("live"), F.sum("n").alias("rows"))
+    ks = f"""aggregate(sequence(0, {len(_DECILES)}), named_struct('r', 0D, 'l', 0D, 'd', 0D), (a, i) ->
+      named_struct('r', a.r + coalesce(ref[i] / whole, 0D), 'l', a.l + coalesce(live[i] / rows, 0D), 'd',
+        greatest(a.d, abs(a.r + coalesce(ref[i] / whole, 0D) - a.l - coalesce(live[i] / rows, 0D)))), a -> a.d)"""
+    n, m = F.col("rows").cast("double"), F.col("m").cast("double")
+    critical = F.lit(KS_FACTOR) * F.sqrt((n + m) / (n * m))
+    scored = live.join(ref, "feature").withColumn("ks", F.expr(ks))
+    return scored.select(*keys, "feature", "ks", (F.col("ks") > critical).alias("shifted"))
+
+
 def covariate_shift(ks_result: DataFrame, limit: float = SHIFT_LIMIT) -> DataFrame:
     """One row: shifted share of the features and the verdict."""
     share = F.coalesce(F.avg(F.col("shifted").cast("double")), F.lit(0.0))

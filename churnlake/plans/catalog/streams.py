@@ -72,6 +72,16 @@ def _run_drift(spark, sf):
     return root
 
 
+_WINDOW_KS = """m AS (SELECT count(*) AS m FROM drift WHERE side = 'ref'),
+  kc AS (SELECT lt.window_start, lt.rows, k.i, coalesce(lc.n, 0) AS n, coalesce(rs.s, 0) AS s FROM lt CROSS JOIN range(0, 10) k(i)
+    LEFT JOIN lc ON lc.window_start = lt.window_start AND lc.feature = 'value' AND lc.bin = CAST(k.i AS VARCHAR)
+    LEFT JOIN rs ON rs.feature = 'value' AND rs.bin = CAST(k.i AS VARCHAR) WHERE lt.feature = 'value'),
+  ku AS (SELECT window_start, rows, abs(sum(n) OVER up * 1e0 / rows - sum(s) OVER up) AS gap FROM kc
+    WINDOW up AS (PARTITION BY window_start ORDER BY i)),
+  kd AS (SELECT window_start, max(gap) > 1.358e0 * sqrt((max(rows) + max(m)) / (max(rows) * 1e0 * max(m))) AS shifted
+    FROM ku CROSS JOIN m GROUP BY 1)"""
+
+
 _TIMES = "window_start timestamp, window_end timestamp"
 
 
@@ -88,10 +98,12 @@ def _(spark, sf):
 
 @query(
     "stream_alerts",
-    f"""{WINDOWED_SQL}, s AS (SELECT window_start, bool_or(feature = 'label' AND psi > 0.1) AS target,
-    bool_or(feature <> 'label' AND psi > 0.2) AS feature FROM wp GROUP BY 1)
+    f"""{WINDOWED_SQL}, {_WINDOW_KS}, s AS (SELECT window_start, bool_or(feature = 'label' AND psi > 0.1) AS target,
+    bool_or(feature <> 'label' AND psi > 0.2) AS feature, bool_or(shifted) AS shifted FROM wp JOIN kd USING (window_start) GROUP BY 1)
   SELECT window_start, 'target_drift' AS alert_type, 'CRITICAL' AS level FROM s
     WHERE target AND window_start + INTERVAL 1 HOUR <= {_CLOSED}
+  UNION ALL SELECT window_start, 'distribution_drift', 'INFO' FROM s
+    WHERE target AND shifted AND window_start + INTERVAL 1 HOUR <= {_CLOSED}
   UNION ALL SELECT window_start, 'feature_drift', 'WARNING' FROM s
     WHERE target AND feature AND window_start + INTERVAL 1 HOUR <= {_CLOSED}""",
 )
@@ -104,15 +116,15 @@ def _(spark, sf):
 
 @query(
     "stream_summary",
-    f"""{WINDOWED_SQL}, s AS (SELECT window_start, count(*) FILTER (WHERE feature <> 'label') AS total_features,
+    f"""{WINDOWED_SQL}, {_WINDOW_KS}, s AS (SELECT window_start, bool_or(shifted) AS distribution_drift, count(*) FILTER (WHERE feature <> 'label') AS total_features,
     count(*) FILTER (WHERE feature <> 'label' AND psi > 0.2) AS drifted_features,
-    bool_or(feature = 'label' AND psi > 0.1) AS target_drift FROM wp GROUP BY 1)
+    bool_or(feature = 'label' AND psi > 0.1) AS target_drift FROM wp JOIN kd USING (window_start) GROUP BY 1)
   SELECT *, CASE WHEN target_drift THEN 'CRITICAL' WHEN drifted_features > 0 THEN 'WARNING' ELSE 'STABLE' END AS status
   FROM s WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED}""",
 )
 def _(spark, sf):
     root = _run_drift(spark, sf)
-    schema = f"{_TIMES}, total_features bigint, drifted_features bigint, target_drift boolean, status string"
+    schema = f"{_TIMES}, total_features bigint, drifted_features bigint, target_drift boolean, distribution_drift boolean, status string"
     return wn.plain_times(fl.written(spark, root, "summary", schema)).drop("window_end")
 
 
@@ -182,7 +194,7 @@ def _(spark, sf):
     )
     latest = wn.latest_status(checks, "monitor", "ts", tie=["event_id"])
     root = scratch_path(spark, "status")
-    fl.run(fl.write_batches(latest, root, lambda batch: {"status": batch}, mode="update"))
+    fl.run(fl.write_batches(latest, root, lambda batch, _: {"status": batch}, mode="update"))
     # Every batch repeats the monitors it changed; the newest row of each is its status.
     told = fl.written(spark, root, "status", latest.schema)
     return wn.plain_times(st.one_per_key(told, ["monitor"], ["last_ts", "event_id"], last=True)).drop("event_id")

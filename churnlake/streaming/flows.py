@@ -39,22 +39,29 @@ def read_files(
 def write_batches(
     stream: DataFrame,
     root: str,
-    sinks: Callable[[DataFrame], Mapping[str, DataFrame]],
+    sinks: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], Mapping[str, DataFrame]],
     trigger: Mapping[str, object] | None = None,
     mode: str = "append",
 ) -> StreamingQuery:
     """Write the frames that ``sinks`` derives from each micro-batch to ``root/<name>/batch=<n>``.
 
-    A micro-batch is kept while its sinks are written, so that it runs once, and released afterwards.
+    A micro-batch is kept while its sinks are written, so that it runs once, and released afterwards; so is every
+    frame that ``sinks(batch, keep)`` passes to ``keep``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        held: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
         try:
-            for name, df in sinks(batch).items():
+            for name, df in sinks(keep(batch), keep).items():
                 df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint").foreachBatch(write)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -96,28 +103,35 @@ def monitor_drift(
     """
     bins = dr.plan_bins(reference, columns)
     shares = small_side(dr.reference_bins(reference, bins), "reference-bins")
-
-    def sinks(batch: DataFrame) -> Mapping[str, DataFrame]:
-        scored = dr.psi_of_groups(batch, shares, ["window_start", "window_end"])
+    numeric = [c for c, edges in bins.items() if edges is not None]
+    sizes = reference.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    window = ["window_start", "window_end"]
+
+    def sinks(batch: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> Mapping[str, DataFrame]:
+        scored = dr.psi_of_groups(batch, shares, window)
+        if sizes:
+            scored = scored.join(dr.ks_of_groups(batch, shares, sizes, window), [*window, "feature"], "left")
+        scored = keep(scored)
         return {"psi": scored, "summary": window_summaries(scored, target), "alerts": window_alerts(scored, target)}
 
     return write_batches(drift_counts(live, bins, watermark=watermark), root, sinks, trigger)
 
 
 def window_summaries(scored: DataFrame, target: str | None) -> DataFrame:
-    """Status of each window from its feature scores."""
+    """Status of each window from its feature scores; the distribution drifts if enough numeric features shifted."""
+    shifted = F.col("shifted").cast("double") if "shifted" in scored.columns else F.lit(None).cast("double")
     is_target = F.lit(False) if target is None else F.col("feature") == target
     per = scored.groupBy("window_start", "window_end").agg(
         F.count(F.when(~is_target, 1)).alias("total_features"),
         F.count(F.when(~is_target & (F.col("psi") > dr.FEATURE_LIMIT), 1)).alias("drifted_features"),
         F.coalesce(F.bool_or(F.when(is_target, F.col("psi") > dr.TARGET_LIMIT)), F.lit(False)).alias("target_drift"),
+        F.coalesce(F.avg(F.when(~is_target, shifted)) >= dr.SHIFT_LIMIT, F.lit(False)).alias("distribution_drift"),
     )
     drifted = F.col("drifted_features") > 0
     status = F.when(F.col("target_drift"), "CRITICAL").when(drifted, "WARNING").otherwise("STABLE")
     return per.withColumns(
         {
             "feature_drift": drifted,
-            "distribution_drift": F.lit(False),
             "status": status,
             "requires_action": dr.requires_action(status, F.col("target_drift")),
         }
@@ -144,7 +158,7 @@ def ingest_records(
     """
     checked = ql.with_errors(normalize_records(stream), which)
 
-    def sinks(batch: DataFrame) -> Mapping[str, DataFrame]:
+    def sinks(batch: DataFrame, _) -> Mapping[str, DataFrame]:
         bad = F.size("errors") > 0
         log = batch.agg(
             F.count(F.lit(1)).alias("records_processed"),
