@@ -2,12 +2,15 @@
 
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from churnlake.functions import fields
 from churnlake.operators import quality as ql
 from churnlake.operators import store as st
+from churnlake.operators import quantiles as qt
 from churnlake.operators.quantiles import value_counts
+from churnlake.plans import preprocess as pp
 from churnlake.session import scratch_path, stage
 from churnlake.sources import tables as tb
 
@@ -25,16 +28,65 @@ def test_store_rewrites_only_touched_batches(spark):
     root = scratch_path(spark, "store")
     store = _store(spark, [(i, f"2024-01-{i:02d}", "ABC"[i % 3], i, 1.0, 0) for i in range(1, 25)])
     tb.create_store(store, root)
-    before = {b: sorted(glob.glob(f"{root}/batch_id={b}/*.parquet")) for b in "ABC"}
+    before = {b: sorted(glob.glob(f"{root}/data/batch_id={b}/*/*.parquet")) for b in "ABC"}
     incoming = _store(spark, [(3, "2024-01-03", "D", 100, 9.0, 1), (50, "2024-02-01", "D", 101, 8.0, 1)])
     tb.upsert_store(spark, root, store.schema, incoming, ["revenue", "churn"])
-    after = {b: sorted(glob.glob(f"{root}/batch_id={b}/*.parquet")) for b in "ABCD"}
+    after = {b: sorted(glob.glob(f"{root}/data/batch_id={b}/*/*.parquet")) for b in "ABCD"}
     assert after["B"] == before["B"] and after["C"] == before["C"]
     assert after["A"] != before["A"] and after["D"]
     got = {r["customer_id"]: (r["batch_id"], r["revenue"]) for r in tb.read_store(spark, root, store.schema).collect()}
     assert len(got) == 25 and got[3] == ("A", 9.0) and got[50] == ("D", 8.0) and got[6] == ("A", 1.0)
 
 
+def test_failed_commit_leaves_the_old_store(spark, monkeypatch):
+    root = scratch_path(spark, "store")
+    store = _store(spark, [(1, "2024-01-01", "A", 1, 1.0, 0), (2, "2024-01-02", "B", 2, 1.0, 0), (3, "2024-01-03", None, 3, 1.0, 0)])
+    tb.create_store(store, root)
+
+    def broken(*_):
+        raise RuntimeError("lost before the commit")
+
+    incoming = _store(spark, [(1, "2024-01-01", "A", 9, 7.0, 1), (3, "2024-01-03", None, 9, 7.0, 1)])
+    with monkeypatch.context() as m:
+        m.setattr(tb, "_commit", broken)
+        with pytest.raises(RuntimeError):
+            tb.upsert_store(spark, root, store.schema, incoming, ["revenue", "churn"])
+    old = tb.read_store(spark, root, store.schema)
+    assert sorted((r["customer_id"], r["revenue"]) for r in old.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    tb.upsert_store(spark, root, store.schema, incoming, ["revenue", "churn"])
+    new = tb.read_store(spark, root, store.schema)
+    assert sorted((r["customer_id"], r["revenue"]) for r in new.collect()) == [(1, 7.0), (2, 1.0), (3, 7.0)]
+    assert sorted((r["customer_id"], r["revenue"]) for r in old.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_quantiles_merge_no_value_maps(spark):
+    """The passes group by interval and bin; no exact percentile aggregate is planned."""
+    df = spark.range(1000).select((F.col("id") * 1.5).alias("a"))
+    seen = []
+    found = qt._counted
+
+    def counted(frame, intervals, bins):
+        seen.append(len(intervals))
+        return found(frame, intervals, bins)
+
+    qt._counted, held = counted, qt._counted
+    try:
+        assert qt.exact_quantiles(df, ["a"], [0.5, 0.25], bins=8) == {"a": [749.25, 374.625]}
+    finally:
+        qt._counted = held
+    assert seen and max(seen) <= 4
+    assert "percentile" not in open(qt.__file__, encoding="utf-8").read().lower()
+
+
+def test_apply_plans_no_join(spark):
+    df = spark.createDataFrame([(i, float(i), f"c{i}") for i in range(60)], "id bigint, months double, prizm_cluster string")
+    params = pp.fit_preprocess(df, ["months"], ["prizm_cluster"])
+    assert "Join" not in plan(pp.apply_preprocess(df, params, keep=["id"]))
+    coded = pp.apply_preprocess(df, params, keep=["id"], encode=["prizm_cluster"])
+    order = sorted(f"c{i}" for i in range(60))
+    assert {r["id"]: r["prizm_cluster"] for r in coded.collect()} == {i: order.index(f"c{i}") for i in range(60)}
+
+
 def test_store_insert_and_delete(spark):
     root = scratch_path(spark, "store")
     store = _store(spark, [(1, "2024-01-01", "A", 1, 1.0, 0), (2, "2024-01-02", "B/x", 2, 1.0, 0)])
@@ -51,7 +103,8 @@ def test_batch_lookup_prunes_partitions_and_columns(spark):
     store = _store(spark, [(1, "2024-01-01", "A", 1, 1.0, 0)])
     tb.create_store(store, root)
     text = plan(st.lookup(tb.read_store(spark, root, store.schema), "batch_id", "A").select("customer_id"))
-    assert "PartitionFilters: [isnotnull(batch_id" in text
+    filters = text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "isnotnull(batch_id" in filters and "(version" in filters
     assert "ReadSchema: struct<customer_id:bigint>" in text
 
 
