@@ -149,7 +149,7 @@ def test_constant_reference_nulls_and_new_categories(spark):
     counts = {(r["feature"], r["bin"]): (r["ref"], r["live"]) for r in dr.bin_counts(ref, live, dr.plan_bins(ref, ["x", "c"])).collect()}
     assert counts == {
         ("x", "0"): (0, 1), ("x", "1"): (2, 1), ("x", "null"): (1, 0),
-        ("c", "a"): (2, 0), ("c", "b"): (1, 0), ("c", "z"): (0, 1), ("c", "null"): (0, 1),
+        ("c", "=a"): (2, 0), ("c", "=b"): (1, 0), ("c", "=z"): (0, 1), ("c", "null"): (0, 1),
     }
 
 
@@ -175,3 +175,21 @@ def test_bands(spark):
     df = spark.createDataFrame([(0.05,), (0.1,), (0.25,), (0.3,)], "v double")
     got = [tuple(r) for r in df.select(dr.ratio_band(F.col("v")), dr.psi_band(F.col("v"))).collect()]
     assert got == [("green", "green"), ("yellow", "yellow"), ("yellow", "red"), ("red", "red")]
+
+
+def test_null_and_the_category_null_are_different_bins(spark):
+    ref = spark.createDataFrame([("null",)] * 50 + [("x",)] * 50, "c string")
+    live = spark.createDataFrame([(None,)] * 50 + [("x",)] * 50, "c string")
+    assert dr.psi(ref, live, ["c"]).first()["drifted"]
+    assert not dr.psi(ref, ref, ["c"]).first()["drifted"]
+
+
+def test_binned_distance_of_windows(spark):
+    ref = spark.createDataFrame([(float(i), "k") for i in range(1000)], "v double, c string")
+    rows = [(1, float(i), "k") for i in range(0, 1000, 3)] + [(2, 600.0 + i / 10, "k") for i in range(400)] + [(2, None, "k")]
+    live = spark.createDataFrame(rows, "w int, v double, c string")
+    bins = dr.plan_bins(ref, ["v", "c"])
+    counts = dr.binned(live, bins, ["w"]).groupBy("w", "feature", "bin").count().withColumnRenamed("count", "n")
+    out = {r["w"]: r for r in dr.ks_of_groups(counts, dr.reference_bins(ref, bins), {"v": 1000}, ["w"]).collect()}
+    assert not out[1]["shifted"] and out[1]["ks"] < 0.02
+    assert out[2]["shifted"] and abs(out[2]["ks"] - 0.6) < 0.02

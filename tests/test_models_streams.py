@@ -51,6 +51,29 @@ def test_boosted_and_network_find_the_signal(spark, data):
     assert {r["metric"]: r["mean"] for r in md.metric_rows(net).collect()}["roc_auc"] > 0.8
 
 
+def test_draws_give_the_whole_of_a_small_space():
+    space = {"a": [1, 2, 3], "b": [1, 2]}
+    assert len(md.draws(space, 10)) == 6 and len(md.draws(space, 4)) == 4
+    assert len({str(p) for p in md.draws(space, 4)}) == 4
+
+
+def test_learning_rate_of_the_network_matters(spark, data):
+    def weights(rate):
+        params = {"layers": 1, "units": 4, "stepSize": rate, "maxIter": 5}
+        return md.pipeline("neural_net", params, ["a", "b"], "y").fit(data).stages[-1].weights.toArray()
+
+    assert not np.allclose(weights(1e-5), weights(1e-2))
+
+
+def test_threshold_is_kept_with_the_version(spark, data):
+    root = scratch_path(spark, "models")
+    model = md.pipeline("random_forest", {"numTrees": 3, "maxDepth": 2}, ["a", "b"], "y").fit(data)
+    rg.register_model(model, root, "random_forest", "v1", {}, spark)
+    assert rg.load_scorer(spark, root, "random_forest")[1] == 0.5
+    rg.register_model(model, root, "random_forest", "v2", {}, spark, 0.31)
+    assert rg.load_scorer(spark, root, "random_forest")[1] == 0.31
+
+
 def test_registry_returns_the_newest(spark, data):
     root = scratch_path(spark, "models")
     model = md.pipeline("random_forest", {"numTrees": 3, "maxDepth": 2}, ["a", "b"], "y").fit(data)
