@@ -7,30 +7,17 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scan import BATCH_BYTES, id_and_text, over_texts
+from .scan import grouped, id_and_text, over_texts
 from .tokens import ByteEncoder
 
 
-def _groups(texts: list[bytes]):
-    """Texts in groups of about ``4 * BATCH_BYTES``, so that new pre-tokens are encoded many at a time."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t.decode("utf-8", "replace"))
-        size += len(t)
-        if size >= 4 * BATCH_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int): the exact ids of each whole text.  Null and empty texts have no ids; repeated
     rows and null ids stay; an empty table gives no rows."""
 
     def make(texts: list[bytes]) -> dict:
         encoder = ByteEncoder.get(path)
-        return {"ids": pa.array([encoder.encode(t) for g in _groups(texts) for t in g], pa.list_(pa.int32()))}
+        return {"ids": pa.array([encoder.encode(t) for g in grouped(texts) for t in g], pa.list_(pa.int32()))}
 
     return over_texts(id_and_text(docs, id_col, text_col), make, "doc_id bigint, ids array<int>")
 
@@ -57,7 +44,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def make(texts: list[bytes]) -> dict:
         encoder = ByteEncoder.get(path)
         counts, ids, decoded = [], [], []
-        for group in _groups(texts):
+        for group in grouped(texts):
             split = [encoder.split(t) for t in group]
             if any(w not in encoder.ids for words in split for w in words):
                 encoder.ready(set().union(*split))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scan import id_and_text
+from .scan import grouped, id_and_text
 from .tokens import ByteEncoder
 
 BLOCK = 64  # leaves below a lowest inner node
@@ -29,9 +29,9 @@ PERSONAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}|\+?[0-9][0-9
 class CountTree:
     """Token counts of one text under edits; ``total`` is the count of the whole text."""
 
-    def __init__(self, text: str, encoder: ByteEncoder):
+    def __init__(self, text: str, encoder: ByteEncoder, words: list[str] | None = None):
         self.encoder, self.text = encoder, text
-        words = encoder.split(text)
+        words = encoder.split(text) if words is None else words
         self.reencoded = 0
         chars, tokens = self._measured(words)
         self.blocks = [[chars[i : i + BLOCK], tokens[i : i + BLOCK]] for i in range(0, len(words), BLOCK)]
@@ -40,10 +40,10 @@ class CountTree:
     def _measured(self, words: list[str]) -> tuple[list[int], list[int]]:
         ids = self.encoder.ids
         try:
-            return list(map(len, words)), [len(ids[w]) for w in words]
+            return list(map(len, words)), list(map(len, map(ids.__getitem__, words)))
         except KeyError:
             self.encoder.ready(set(words))
-        return list(map(len, words)), [len(ids[w]) for w in words]
+        return list(map(len, words)), list(map(len, map(ids.__getitem__, words)))
 
     def _sum_blocks(self) -> None:
         """Sums of each block, and the levels above by pairs."""
@@ -173,14 +173,17 @@ def count_under_edits(
         encoder = ByteEncoder.get(path)
         for batch in batches:
             rows = []
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                text = raw.decode("utf-8", "replace")
-                tree = CountTree(text, encoder)
-                before, edits = tree.total, find_edits(text)
-                tree.reencoded = 0
-                for start, end, put in edits:
-                    tree.edit(start, end, put)
-                rows.append((before, len(edits), tree.total, tree.reencoded))
+            for group in grouped(batch.column("text").cast(pa.binary()).to_pylist()):
+                split = [encoder.split(t) for t in group]
+                if any(w not in encoder.ids for words in split for w in words):
+                    encoder.ready(set().union(*split))  # new pre-tokens of many texts are encoded together
+                for text, words in zip(group, split):
+                    tree = CountTree(text, encoder, words)
+                    before, edits = tree.total, find_edits(text)
+                    tree.reencoded = 0
+                    for start, end, put in edits:
+                        tree.edit(start, end, put)
+                    rows.append((before, len(edits), tree.total, tree.reencoded))
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]],

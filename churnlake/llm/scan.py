@@ -53,6 +53,19 @@ def over_texts(df: DataFrame, make: Callable[[list[bytes]], dict], schema: str,
     return df.mapInArrow(run, schema)
 
 
+def grouped(texts: list[bytes]) -> Iterator[list[str]]:
+    """Texts in groups of about ``4 * BATCH_BYTES``, for work that pays off on many texts at once."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t.decode("utf-8", "replace"))
+        size += len(t)
+        if size >= 4 * BATCH_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that all bits depend on all bits."""
     h = h ^ (h >> np.uint64(32))

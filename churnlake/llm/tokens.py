@@ -112,9 +112,6 @@ class ByteEncoder:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.rank = {}
-        for i, m in enumerate(spec["model"]["merges"]):
-            self.rank[tuple(m) if isinstance(m, list) else tuple(m.split(" "))] = i
         letters = byte_alphabet()
         self.stand_in = dict(enumerate(letters))
         self.byte_of = {ord(c): chr(b) for b, c in enumerate(letters)}
@@ -141,24 +138,8 @@ class ByteEncoder:
         return cls._made[path]
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging: the adjacent pair of lowest rank first, leftmost among equals, until none is left."""
-        parts, rank = list(word), self.rank
-        none = len(rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.id_of[p] for p in parts]
+        """Exact merging of one pre-token: the adjacent pair of lowest rank first, until none is left."""
+        return [t.id for t in self.library.model.tokenize(word)]
 
     def proposed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches of all words: ids, and the number of the word each belongs to."""
@@ -170,7 +151,10 @@ class ByteEncoder:
 
     def pair_table(self, keys: np.ndarray) -> np.ndarray:
         """Whether exact merging leaves each pair (first id * 2^20 + second id) as it is."""
-        fresh = np.setdiff1d(keys, self.pairs)
+        at = np.searchsorted(self.pairs, keys)
+        held = at < len(self.pairs)
+        held[held] = self.pairs[at[held]] == keys[held]
+        fresh = keys[~held]
         if len(fresh):
             holds = np.array(
                 [self.merged(self.token[k >> 20] + self.token[k & 0xFFFFF]) == [k >> 20, k & 0xFFFFF] for k in fresh.tolist()]
