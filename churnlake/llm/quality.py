@@ -7,6 +7,8 @@ of fixed size.  Scores of rows kept out of the fit are counted in fixed bins and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +93,17 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def bounded_sample(labelled: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of their ids as ``_h``; a larger table is first cut at the
+    hash below which about so many lie, so that the sort sees few rows."""
+    rows = labelled.withColumn("_h", F.xxhash64("doc_id"))
+    n = labelled.count()
+    if n > most:
+        share = min(1.0, (most + 6 * math.sqrt(most) + 100) / n)
+        rows = rows.where(F.col("_h") <= int(share * (1 << 64)) - (1 << 63) - 1)
+    return rows.orderBy("_h", "doc_id").limit(most)
+
+
 def remainder(of: int):
     """crc32 of the id as text, modulo ``of``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
@@ -138,7 +151,7 @@ def _isotonic(ones: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit(stats: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from statistics and ``doc_id, y``.  Up to ``max_train`` labelled rows, chosen by hash, are used: four
     fifths for the fit and the rest for the calibration.  Without rows of both kinds every score is near their share."""
-    chosen = labelled.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(max_train)
+    chosen = bounded_sample(labelled, max_train)
     train = stage(
         stats.join(chosen, "doc_id").select("x", "y", (F.pmod("_h", F.lit(5)) != 0).alias("fit")).coalesce(PARTS), "train"
     )

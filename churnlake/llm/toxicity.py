@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .quality import one_label, remainder
+from .quality import bounded_sample, one_label, remainder
 from .scan import hash_spans, id_and_text, mixed, over_texts, scan_texts
 
 MAX_TRAIN = 50_000  # labelled documents used; the only bound of the fit
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> tup
     ``labelled`` (``doc_id, y``) is cut to ``max_train`` rows by hash, which bounds the broadcast that selects their
     texts and the learner's time; its memory is one Arrow batch and the ``2 ** BITS`` coordinates.
     """
-    chosen = labelled.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(max_train).select("doc_id", "y")
+    chosen = bounded_sample(labelled, max_train).select("doc_id", "y")
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text")
 
     def make(batch: list[bytes]) -> dict:

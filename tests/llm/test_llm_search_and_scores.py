@@ -138,6 +138,14 @@ def test_classifier_on_odd_rows(spark, make, column):
     assert make(docs.where("false"), marks).collect() == []
 
 
+def test_bounded_sample(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "1.0 as y")
+    some = {r["doc_id"] for r in quality.bounded_sample(rows, 700).collect()}
+    assert len(some) == 700
+    assert some == {r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id")).limit(700).collect()}
+    assert quality.bounded_sample(rows, 6000).count() == 5000
+
+
 def test_labels_of_the_held_fold_are_not_used(spark):
     docs, table = (read_table(spark, DATA, n) for n in ("documents", "labels"))
     turned = table.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -149,7 +157,7 @@ def test_labels_of_the_held_fold_are_not_used(spark):
 def test_pipeline_against_plain_versions(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = read_table(spark, sf_dir, "documents")
-    columns, rows = docs.columns, None
+    columns = docs.columns
     for (name, apply), check in zip(corpus_pipeline.STAGES, (None, "exact", "near", "pii", "pack")):
         before = {r["doc_id"]: r for r in docs.collect()}
         docs = corpus_pipeline.stage(apply(spark, docs, sf_dir), "test-stage")
@@ -172,9 +180,15 @@ def test_pipeline_against_plain_versions(spark):
                 if not found and "<" not in after[i]["text"]:
                     assert after[i]["text"] == t
                 assert after[i]["n_chars"] == len(after[i]["text"])
-    labels = {r["doc_id"]: r["quality"] for r in read_table(spark, sf_dir, "labels").collect()}
-    kept = {r["doc_id"] for r in rows}
-    assert sum(labels[i] for i in kept if i in labels) / sum(i in labels for i in kept) > 0.9
+
+
+def test_pipeline_keeps_good_documents(spark):
+    docs, table = (read_table(spark, DATA, n) for n in ("documents", "labels"))
+    labels = {r["doc_id"]: r["quality"] for r in table.collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, DATA).collect()}
+    good, bad = ({i for i, q in labels.items() if q == v} for v in (1, 0))
+    assert len(good & kept) >= 0.98 * len(good)
+    assert len(bad & kept) <= 0.1 * len(bad)
 
 
 def test_registered_queries(spark):
