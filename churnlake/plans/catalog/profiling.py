@@ -87,9 +87,12 @@ _PAIRED = NUMBERS
 
 
 def _short(e: str) -> str:
-    """Eight leading digits, as covariances differ by many powers of ten; a constant column has 0."""
-    power = f"pow(10e0, floor(log10(abs({e}))) - 7)"
-    return r6(f"CASE WHEN abs({e}) < 1e-6 THEN 0e0 ELSE round({e} / {power}) * {power} END")
+    """Eight leading digits and the power of ten, as covariances differ by many; a constant column has 0."""
+    power = f"(floor(log10(abs({e}))) - 7)"
+    return (
+        f"CAST(CASE WHEN abs({e}) < 1e-6 THEN 0 ELSE round({e} / pow(10e0, {power})) END AS BIGINT) AS covariance_digits, "
+        f"CAST(CASE WHEN abs({e}) < 1e-6 THEN 0 ELSE {power} END AS INTEGER) AS covariance_power"
+    )
 
 
 _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
@@ -99,7 +102,7 @@ _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
     "correlation_pairs",
     f"{W_SQL} "
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS first, '{b}' AS second, {_short(f'covar_samp({a}, {b})')} AS covariance, "
+        f"SELECT '{a}' AS first, '{b}' AS second, {_short(f'covar_samp({a}, {b})')}, "
         f"{r6(f'corr({a}, {b})')} AS correlation FROM w"
         for a, b in _PAIRS
     ),
@@ -107,9 +110,15 @@ _PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
 def _(spark, sf):
     out = pf.correlation_pairs(landed(spark, sf, _PAIRED), _PAIRED)
     covariance = F.coalesce(F.col("covariance"), F.lit(0.0))
-    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(covariance))) - 7)
-    short = F.when(F.abs(covariance) < 1e-6, 0.0).otherwise(F.round(covariance / power) * power)
-    return out.withColumns({"covariance": _r6(short), "correlation": _r6(F.col("correlation"))})
+    power = F.floor(F.log10(F.abs(covariance))) - 7
+    none = F.abs(covariance) < 1e-6
+    return out.select(
+        "first",
+        "second",
+        F.when(none, 0).otherwise(F.round(covariance / F.pow(F.lit(10.0), power))).cast("bigint").alias("covariance_digits"),
+        F.when(none, 0).otherwise(power).cast("int").alias("covariance_power"),
+        _r6(F.col("correlation")).alias("correlation"),
+    )
 
 
 _SIDES = """a AS (SELECT event_type AS v, count(*) * 1e0 / (SELECT count(*) FROM drift WHERE side = 'ref' AND label = 1) AS s
