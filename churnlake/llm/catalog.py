@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits, exact, near, packing, pii, quality, substrings, topk, toxicity
+from . import bpe, bytebpe, edits, exact, lexical, near, packing, pii, quality, substrings, topk, toxicity
 from .scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,40 @@ def edit_aware_counts(spark, sf_dir):
 @query("op10_bpe_round_trip")
 def bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    return bytebpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS terms FROM documents),
+    s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+    tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+    q AS (
+      SELECT DISTINCT item_id, unnest({_TERMS}) AS term
+      FROM (SELECT item_id, min(coalesce(text, '')) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)
+    ), w AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, s GROUP BY term, n_docs
+    ), scored AS (
+      SELECT item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) //
+        (1000 * tf + 20 * (50 + ((50 * len(terms) * n_docs) // n_terms))))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (row_id), s
+      WHERE doc_id IS NOT NULL GROUP BY item_id, row_id, doc_id
+    ), ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def lexical_search(spark, sf_dir):
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
