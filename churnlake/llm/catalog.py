@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytebpe, edits, exact, lexical, near, packing, pii, quality, substrings, topk, toxicity
+from . import bpe, bytebpe, conversations, edits, exact, lexical, near, packing, pii, quality, substrings, topk, toxicity
 from .scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,45 @@ def byte_bpe(spark, sf_dir):
     return bytebpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query(
+    "op12_conversation_trie",
+    """
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+      SELECT DISTINCT conv_id, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE (x >> 1) + y END))) % 6 AS h
+      FROM t
+    ), r AS (
+      SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+      UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h
+    ), p AS (
+      SELECT conv_id, row_number() OVER path AS depth, length(text) AS chars,
+        string_agg(sha256(length(role) || ':' || role || text), ',') OVER path AS key
+      FROM r WINDOW path AS (PARTITION BY conv_id ORDER BY part, pos)
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c
+    ), q AS (SELECT *, lag(key) OVER path AS parent, lead(key) OVER path AS child FROM p WINDOW path AS (PARTITION BY conv_id ORDER BY depth)),
+    node AS (
+      SELECT key, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, count(DISTINCT child) AS n_children,
+        (count(*) - 1) * any_value(chars) AS saved,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (child IS NULL), '')) AS ends_sha256
+      FROM q GROUP BY key, depth, parent
+    ), below AS (
+      SELECT p.key, p.depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+      FROM node JOIN p ON p.conv_id = node.conv_id AND p.depth <= node.depth GROUP BY p.key, p.depth
+    )
+    SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+    FROM node n JOIN below b ON n.key = b.key AND n.depth = b.depth LEFT JOIN node up ON up.key = n.parent AND up.depth = n.depth - 1
+    """,
+)
+def conversation_trie(spark, sf_dir):
+    return conversations.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
