@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import code_point_classes, pieces
-from .scan import grouped, id_and_text, over_texts
+from .scan import OTHER_BYTE, grouped, hash_spans, id_and_text, over_texts
 
-PIECES_KEPT, CHARS_KEPT = 200_000, 1 << 24  # bound the cache of a task; results don't depend on them
+PIECES_KEPT, BYTES_KEPT = 200_000, 1 << 24  # bound the cache of a task; results don't depend on them
 LONG_PIECE = 64  # bytes; longer pieces are merged one by one with a heap
 _NONE = np.int64(1 << 30)
 
@@ -51,19 +52,27 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes pieces with a cache; one per process and vocabulary."""
+    """Encodes pieces with a cache; one per process and vocabulary.
+
+    The cache maps a piece to its ids as little-endian 32-bit bytes, as decimals with a comma after each, and to the
+    bytes that the ids decode to.  It has two generations: a piece that is met again moves to the young one.
+    """
 
     _made: dict[int, Encoder] = {}
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ranks = vocabulary.ranks
-        self.token = {rank: token for token, rank in self.ranks.items()}
+        most = max(self.ranks.values(), default=0) + 1
+        self.token, self.decimal = [b""] * most, [f"{i}," for i in range(most)]
+        for token, rank in self.ranks.items():
+            self.token[rank] = token
+        self.size = np.array([len(t) for t in self.token])
+        self.shown_size = np.array([len(t) for t in self.decimal])
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
-        self.chars = 0
+        self.known: dict[bytes, tuple[bytes, str, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, str, bytes]] = {}
+        self.bytes = 0
 
     @classmethod
     def of(cls, shared) -> Encoder:
@@ -82,23 +91,20 @@ class Encoder:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, self.vocabulary.made[at], _NONE)
 
-    def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Exact ids: a piece that is a token, or the leftmost pair of lowest rank merged until none is left."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        many = []
-        for i, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[i] = (whole,)
-            elif len(w) > LONG_PIECE:
-                out[i] = self._merged_by_heap(w)
-            elif w:
-                many.append(i)
-        if not many:
-            return out
-        sizes = np.array([len(words[i]) for i in many])
-        token = self.byte[np.frombuffer(b"".join(words[i] for i in many), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(many)), sizes)
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact ids of all pieces one after another, and how many each has: a piece that is a token, or the leftmost
+        pair of lowest rank merged until none is left."""
+        whole = [self.ranks.get(w, -1) for w in words]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        single = np.array(whole, dtype=np.int64)
+        long = np.flatnonzero((single < 0) & (sizes > LONG_PIECE))
+        many = np.flatnonzero((single < 0) & (sizes <= LONG_PIECE) & (sizes > 0))
+        done = [(np.flatnonzero(single >= 0), single[single >= 0])]
+        for i in long.tolist():
+            ids = self._merged_by_heap(words[i])
+            done.append((np.full(len(ids), i), np.array(ids)))
+        token = self.byte[np.frombuffer(b"".join([words[i] for i in many.tolist()]), dtype=np.uint8)]
+        word = np.repeat(many, sizes[many])
         rank = np.full(len(token), _NONE)
         inner = np.flatnonzero(word[1:] == word[:-1])
         rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
@@ -106,12 +112,10 @@ class Encoder:
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
             open_ = (best >> 32) < _NONE
-            stops = np.append(first[1:], len(token))
-            for w, a, b in zip(word[first[~open_]].tolist(), first[~open_].tolist(), stops[~open_].tolist()):
-                out[many[w]] = tuple(token[a:b].tolist())
+            keep = np.repeat(open_, np.diff(np.append(first, len(token))))
+            done.append((word[~keep], token[~keep]))
             at = best[open_] & 0xFFFFFFFF
             token[at] = rank[at]
-            keep = np.repeat(open_, stops - first)
             keep[at + 1] = False
             place = np.cumsum(keep) - 1
             token, word, rank, at = token[keep], word[keep], rank[keep], place[at]
@@ -120,7 +124,9 @@ class Encoder:
             same = same[word[same] == word[same + 1]]
             rank[at] = _NONE
             rank[same] = self.pair_ranks(token[same], token[same + 1])
-        return out
+        word, token = (np.concatenate(c) for c in zip(*done))
+        order = np.argsort(word, kind="stable")  # a piece is done at once, so its ids stay in order
+        return token[order], np.bincount(word, minlength=len(words))
 
     def _merged_by_heap(self, word: bytes) -> tuple[int, ...]:
         token = self.byte[np.frombuffer(word, dtype=np.uint8)]
@@ -148,29 +154,64 @@ class Encoder:
                         heapq.heappush(heap, (made, left, token[left], token[right]))
         return tuple(t for t in token if t >= 0)
 
-    def ready(self, words: set[str]) -> None:
-        """Put all of the pieces into the caches."""
-        fresh = words.difference(self.ids)
-        if len(self.ids) + len(fresh) > PIECES_KEPT or self.chars > CHARS_KEPT:
-            for cache in (self.ids, self.shown, self.raw):
-                cache.clear()
-            self.chars, fresh = 0, words
-        new = list(fresh)
-        for w, ids in zip(new, self.merged([w.encode("utf-8", "replace") for w in new])):
-            self.ids[w] = ids
-            self.shown[w] = ",".join(map(str, ids))
-            self.raw[w] = b"".join(map(self.token.__getitem__, ids))
-            self.chars += len(w)
-
-    def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-        """The pieces of each text and their byte offsets in it; all their encodings are in the caches afterwards."""
-        joined, starts, offsets, first = pieces(texts, self.vocabulary.classes)
-        at = starts.tolist()
-        cut = [joined[a:b] for a, b in zip(at, at[1:])]
-        edges = [*first.tolist(), len(at)]
-        out = [(cut[a : b - 1], offsets[a : b - 1]) for a, b in zip(edges, edges[1:])]
-        self.ready({w for words, _ in out for w in words})
-        return out
+    def ready(self, words: set[bytes]) -> None:
+        """Put all of the pieces into the young cache."""
+        known, old = self.known, self.old
+        if len(known) > PIECES_KEPT or self.bytes > BYTES_KEPT:
+            self.old, self.known, self.bytes = known, {}, 0
+            known, old = self.known, self.old
+        fresh = words.difference(known)
+        self.bytes += sum(map(len, fresh))
+        back = fresh.intersection(old)
+        known.update((w, old[w]) for w in back)
+        new = list(fresh.difference(back))
+        if not new:
+            return
+        ids, counts = self.merged(new)
+        ends = np.cumsum(counts)
+        flat = ids.tolist()
+        columns = []
+        for whole, sizes in (
+            (ids.astype("<i4").tobytes(), None),
+            ("".join(map(self.decimal.__getitem__, flat)), self.shown_size),
+            (b"".join(map(self.token.__getitem__, flat)), self.size),
+        ):
+            cuts = 4 * ends if sizes is None else np.append(0, np.cumsum(sizes[ids]))[ends]
+            cuts = [0, *cuts.tolist()]
+            columns.append([whole[a:b] for a, b in zip(cuts, cuts[1:])])
+        known.update(zip(new, zip(*columns)))
+
+    def split(self, texts: list[str]) -> _Group:
+        """The texts' pieces, encoded.  Pieces are sorted out by two 64-bit names, so only distinct ones are cut out."""
+        data, starts, first = pieces(texts, self.vocabulary.classes)
+        ends = np.append(starts[1:], len(data))
+        names = hash_spans(data, starts, ends)
+        _, where, code = np.unique(names, return_index=True, return_inverse=True)
+        other = hash_spans(data, starts, ends, OTHER_BYTE)
+        raw = data.tobytes()
+        if (other != other[where[code]]).any() or (ends - starts != (ends - starts)[where[code]]).any():
+            every = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]  # two pieces share a name
+            place = {w: i for i, w in enumerate(dict.fromkeys(every))}
+            distinct, code = list(place), np.array([place[w] for w in every])
+        else:
+            distinct = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        self.ready(set(distinct))
+        return _Group([self.known[w] for w in distinct], code, starts, first)
+
+
+class _Group:
+    """The encoded pieces of some texts: what is known of each distinct one, and the number of every piece."""
+
+    def __init__(self, known: list[tuple[bytes, str, bytes]], code: np.ndarray, starts: np.ndarray, first: np.ndarray):
+        self.packed, self.shown, self.raw = (list(c) for c in zip(*known))
+        edges = [*first.tolist(), len(code)]
+        self.cuts = list(zip(edges, [b - 1 for b in edges[1:]]))  # without the joining characters
+        self.code, self.starts = code, starts
+
+    def texts(self) -> Iterator[tuple[list[int], np.ndarray]]:
+        """For each text the numbers of its pieces, and the bytes of it at which they start."""
+        for a, b in self.cuts:
+            yield self.code[a:b].tolist(), self.starts[a:b] - self.starts[a]
 
 
 def _shared(df: DataFrame, path: str):
@@ -190,14 +231,15 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         encoder = Encoder.of(shared)
         ids, offsets = [], []
         for group in grouped(texts):
-            for words, places in encoder.split(group):
-                known = [encoder.ids[w] for w in words]
-                ids.append([i for some in known for i in some])
-                sizes = np.array([len(encoder.token[i]) for some in known for i in some], dtype=np.int64)
+            split = encoder.split(group)
+            for words, places in split.texts():
+                known = [split.packed[w] for w in words]
+                found = np.frombuffer(b"".join(known), dtype="<i4")
+                sizes = encoder.size[found]
                 inside = np.cumsum(sizes) - sizes
-                counts = [len(some) for some in known]
-                firsts = np.cumsum([0, *counts[:-1]]) if counts else np.empty(0, dtype=np.int64)
-                offsets.append(np.repeat(places - inside[firsts], counts) + inside if counts else inside)
+                counts = np.array([len(k) // 4 for k in known], dtype=np.int64)
+                ids.append(found)
+                offsets.append(np.repeat(places - inside[np.cumsum(counts) - counts], counts) + inside)
         return {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int64()))}
 
     return over_texts(rows, make, "doc_id bigint, ids array<int>, offsets array<bigint>")
@@ -210,7 +252,7 @@ def decode_ids(encoded: DataFrame, path: str, start: int = 0, stop: int | None =
     """
     shared = _shared(encoded, path)
 
-    def part(token: dict[int, bytes], ids: list[int], offsets: np.ndarray) -> bytes:
+    def part(token: list[bytes], ids: list[int], offsets: np.ndarray) -> bytes:
         low = max(0, int(np.searchsorted(offsets, start, side="right")) - 1)
         high = len(ids) if stop is None else int(np.searchsorted(offsets, stop))
         if low >= high:
@@ -241,11 +283,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encoder = Encoder.of(shared)
         counts, ids, decoded = [], [], []
         for group in grouped(texts):
-            for words, _ in encoder.split(group):
-                line = ",".join(map(encoder.shown.__getitem__, words))
-                counts.append(line.count(",") + 1 if line else 0)
-                ids.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(encoder.raw.__getitem__, words))).hexdigest())
+            split = encoder.split(group)
+            for words, _ in split.texts():
+                line = "".join(map(split.shown.__getitem__, words))
+                counts.append(line.count(","))
+                ids.append(hashlib.sha256(line[:-1].encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(split.raw.__getitem__, words))).hexdigest())
         return {
             "n_tokens": pa.array(counts, pa.int64()),
             "ids_sha256": pa.array(ids, pa.string()),

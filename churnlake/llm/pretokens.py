@@ -116,9 +116,9 @@ def _symbols(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return symbol
 
 
-def pieces(texts: list[str], classes: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined by one character each, the start of every piece in that string, its byte offset in its own
-    text, and the number of each text's first piece.  The joining characters are the last pieces of their texts."""
+def pieces(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by one character each, as UTF-8 bytes; the byte at which every piece starts; and the number of
+    each text's first piece.  The joining characters are the last pieces of their texts."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer((joined + "\n\n").encode("utf-32-le", "replace"), dtype="<u4")
     kinds = classes[points]
@@ -135,7 +135,5 @@ def pieces(texts: list[str], classes: np.ndarray) -> tuple[str, np.ndarray, np.n
     starts = np.concatenate(found)
     size = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
     place = np.cumsum(size, dtype=np.int64) - size
-    first = np.searchsorted(starts, ends - [len(t) for t in texts])
-    counts = np.diff(np.append(first, len(starts)))
-    offsets = place[starts] - np.repeat(place[ends - [len(t) for t in texts]], counts)
-    return joined, starts, offsets, first
+    first = np.searchsorted(starts, np.append(0, ends[:-1] + 1))
+    return np.frombuffer(joined.encode("utf-8", "replace"), dtype=np.uint8), place[starts], first

@@ -19,6 +19,7 @@ LONG_WORD = 1 << 16
 
 _RNG = np.random.default_rng(7_2024)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_BYTE = np.random.default_rng(2_7024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=np.int8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
@@ -91,8 +92,8 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The 64-bit names of the words of a buffer, whatever buffer they stand in."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """The 64-bit names of the words of a buffer, whatever buffer they stand in; other byte ``values``, other names."""
     out = np.empty(len(starts), dtype=np.uint64)
     up, down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
     at = 0
@@ -104,14 +105,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             if len(seg) > BATCH_BYTES + LONG_WORD:
                 to, seg = at + 1, data[first : ends[at]]
             sums = np.zeros(len(seg) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[seg] * up[: len(seg)], out=sums[1:])
+            np.cumsum(values[seg] * up[: len(seg)], out=sums[1:])
             s, e = starts[at:to] - first, ends[at:to] - first
             out[at:to] = (sums[e] - sums[s]) * down[s]
         else:
             to = at + 1
         at = to
     for i in np.flatnonzero(ends - starts > LONG_WORD):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=int(values[0] ^ _BYTE[0]))
     return mixed(out)
 
 
