@@ -8,6 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .trees import Ensemble
+
+TREES = ".trees"  # ends the path of an ensemble kept as a node table
+
 REGISTRY_SCHEMA = (
     "model_type string, version string, path string, metrics map<string,double>, threshold double, created_at timestamp"
 )
@@ -35,7 +39,7 @@ def training_schema_record(
 
 
 def register_model(
-    model: PipelineModel,
+    model: PipelineModel | Ensemble,
     root: str,
     model_type: str,
     version: str,
@@ -44,7 +48,7 @@ def register_model(
     threshold: float = 0.5,
 ) -> str:
     """Save a model under a new version and append its registry row, with the decision threshold fitted for it."""
-    path = f"{root}/models/{model_type}/{version}"
+    path = f"{root}/models/{model_type}/{version}" + TREES * isinstance(model, Ensemble)
     model.save(path)
     values = {k: float(v) for k, v in metrics.items() if v is not None}
     row = spark.createDataFrame(
@@ -76,13 +80,15 @@ def list_models(models: DataFrame) -> DataFrame:
     )
 
 
-def load_latest(spark: SparkSession, root: str, model_type: str) -> PipelineModel:
+def load_latest(spark: SparkSession, root: str, model_type: str) -> PipelineModel | Ensemble:
     return load_scorer(spark, root, model_type)[0]
 
 
-def load_scorer(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel, float]:
+def load_scorer(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel | Ensemble, float]:
     """The newest model of a type and its decision threshold."""
     row = latest_models(registry(spark, root)).where(F.col("model_type") == model_type).first()
     if row is None:
         raise LookupError(f"no registered model of type {model_type}")
-    return PipelineModel.load(row["path"]), 0.5 if row["threshold"] is None else row["threshold"]
+    path = row["path"]
+    model = Ensemble.load(spark, path) if path.endswith(TREES) else PipelineModel.load(path)
+    return model, 0.5 if row["threshold"] is None else row["threshold"]

@@ -1,8 +1,6 @@
 """Queries for training, scoring and the model registry.
 
-Training runs over all customers with balanced classes.  The forest and the network search their full spaces.
-Boosted trees run all draws and folds with few iterations: 150 fits of 100 to 500 iterations take hours; the declared
-range is the default of :mod:`churnlake.operators.models`.
+Training runs over all customers with balanced classes and searches the declared spaces in full.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from ...functions.scalars import pack
 from ...functions.scalars import r6 as _r6
 from ...operators import models as md
 from ...operators import registry as rg
+from ...operators import trees as tr
 from ...operators.sampling import stratified_split
 from ...session import scratch_path, stage
 from ...sources import tables as tb
@@ -23,8 +22,6 @@ from ..bindings import prelude, view, wide
 from .base import QUERIES, query, r6
 from .shared import CATEGORIES, FLAGS, NUMBERS, W_SQL, landed
 
-BOOST = {**md.BOOST_SPACE, "maxIter": [3, 5]}
-
 
 def table(spark, sf):
     """The preprocessed training table, written once, and its parameters."""
@@ -52,7 +49,7 @@ def _(spark, sf):
 @query("train_gbt")
 def _(spark, sf):
     data, params = table(spark, sf)
-    return _summary(md.train_boosted(data, params.features, "churn", "customer_id", BOOST))
+    return _summary(md.train_boosted(data, params.features, "churn", "customer_id"))
 
 
 @query("train_mlp")
@@ -118,6 +115,67 @@ def _(spark, sf):
     )
 
 
+# Trees as a table: two splits at the means of two columns each, leaves with the churn rate of their customers.
+_PAIRS = [("months", "outcalls"), ("eqpdays", "models"), ("incalls", "uniqsubs")]
+NODE_FEATURES = [c for pair in _PAIRS for c in pair]
+
+
+def _tree_sql(number: int, first: str, second: str) -> str:
+    mean = "(SELECT avg({0}) FROM {{w}})"
+    above, over = f"{first} > {mean.format(first)}", f"{second} > {mean.format(second)}"
+    leaf = f"SELECT {number}, {{0}}, -1, 0e0, avg(churn) - 0.5e0 FROM {{{{w}}}} WHERE {{1}}"
+    parts = [
+        f"SELECT {number} AS tree, 0 AS node, {2 * number} AS feature, avg({first}) AS threshold, 0e0 AS value FROM {{w}}",
+        f"SELECT {number}, 1, {2 * number + 1}, avg({second}), 0e0 FROM {{w}}",
+        leaf.format(2, above).replace("{{w}}", "{w}"),
+        leaf.format(3, f"NOT {above} AND NOT {over}").replace("{{w}}", "{w}"),
+        leaf.format(4, f"NOT {above} AND {over}").replace("{{w}}", "{w}"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_NODES = " UNION ALL ".join(_tree_sql(i, a, b) for i, (a, b) in enumerate(_PAIRS))
+_SCORED = f"""{W_SQL}, nodes AS ({_NODES.format(w="w")}),
+  rows AS (SELECT customer_id, churn, [{", ".join(f"CAST({c} AS DOUBLE)" for c in NODE_FEATURES)}] AS x FROM w)"""
+_WALK = """walk AS (
+    SELECT customer_id, churn, x, tree, node, feature, threshold, value FROM rows, nodes WHERE node = 0
+    UNION ALL SELECT customer_id, churn, x, n.tree, n.node, n.feature, n.threshold, n.value FROM walk w JOIN nodes n
+      ON n.tree = w.tree AND n.node = 2 * w.node + 1 + CAST(x[w.feature + 1] > w.threshold AS INTEGER) WHERE w.feature >= 0
+  ), p AS (SELECT customer_id, any_value(churn) AS churn, 1 / (1 + exp(-sum(value))) AS p FROM walk WHERE feature < 0 GROUP BY customer_id)"""
+_P_SQL = _SCORED.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _WALK
+NODE_SCORES_SQL = f"""{_P_SQL} SELECT customer_id, CAST(p >= 0.5 AS INTEGER) AS prediction, {r6("greatest(p, 1 - p)")} AS confidence FROM p"""
+
+
+def node_table_model(spark, df):
+    """The ensemble of the node table that Spark derives from the customers."""
+    nodes = spark.sql(_NODES, w=df)
+    return tr.Ensemble.from_table(nodes, NODE_FEATURES, "logistic")
+
+
+@query("score_nodes", NODE_SCORES_SQL)
+def _(spark, sf):
+    df = landed(spark, sf, ["customer_id", "churn", *NODE_FEATURES])
+    scored = sc.score_rows(df, node_table_model(spark, df))
+    return scored.select("customer_id", "prediction", _r6(F.col("confidence")).alias("confidence"))
+
+
+@query(
+    "evaluate_nodes",
+    f"""{_P_SQL}, c AS (SELECT count(*) FILTER (churn = 1 AND p >= 0.4) AS tp, count(*) FILTER (churn = 0 AND p >= 0.4) AS fp,
+    count(*) FILTER (churn = 1 AND p < 0.4) AS fn, count(*) FILTER (churn = 0 AND p < 0.4) AS tn FROM p),
+  s AS (SELECT round(p, 9) AS p, count(*) FILTER (churn = 1) AS pos, count(*) FILTER (churn = 0) AS neg FROM p GROUP BY 1),
+  u AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+  a AS (SELECT sum(pos * (below + neg / 2e0)) / (sum(pos) * sum(neg)) AS auc FROM u)
+  SELECT tp, fp, fn, tn, {r6("(tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE)")} AS accuracy, {r6("tp / CAST(tp + fp AS DOUBLE)")} AS precision,
+    {r6("tp / CAST(tp + fn AS DOUBLE)")} AS recall, {r6("2 * tp / CAST(2 * tp + fp + fn AS DOUBLE)")} AS f1, {r6("auc")} AS roc_auc FROM c, a""",
+)
+def _(spark, sf):
+    df = landed(spark, sf, ["customer_id", "churn", *NODE_FEATURES])
+    found = sc.evaluate_model(df, node_table_model(spark, df), "churn", 0.4)
+    ratios = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    return found.select("tp", "fp", "fn", "tn", *[_r6(F.col(c)).alias(c) for c in ratios])
+
+
 @query(
     "score_passthrough",
     f"""{prelude("scores")} SELECT customer_id, CASE WHEN fold < 2 THEN label ELSE CAST(p >= 0.5 AS INTEGER) END AS prediction,
@@ -180,7 +238,7 @@ def _(spark, sf):
     data, params = table(spark, sf)
     trainers = {
         "random_forest": md.train_forest,
-        "gradient_boosting": lambda d, f, y, i: md.train_boosted(d, f, y, i, BOOST),
+        "gradient_boosting": md.train_boosted,
         "neural_net": md.train_network,
     }
     root = scratch_path(spark, "retrain")

@@ -91,18 +91,28 @@ _SMOTE = f"""{W_SQL}, z AS (SELECT churn, count(*) AS n FROM w GROUP BY churn),
   cp AS (SELECT base.*, unnest(range(1, CAST(wanted // small + CASE WHEN rk <= wanted % small THEN 1 ELSE 0 END AS BIGINT) + 1))
     AS copy, small FROM base CROSS JOIN k),
   pk AS (SELECT *, CAST(floor(('0x' || substr(md5('42n|' || customer_id || '|' || copy), 1, 8))::BIGINT / 4294967296e0 * 5) + 1
-      AS BIGINT) AS slot, ('0x' || substr(md5('42u|' || customer_id || '|' || copy), 1, 8))::BIGINT / 4294967296e0 AS u FROM cp)
-  SELECT customer_id, {", ".join(f"{r6(c)} AS {c}" for c in _FEATURES)}, churn, false AS is_synthetic FROM w
-  UNION ALL SELECT CAST(-((copy - 1) * small + rk) AS BIGINT), {", ".join(r6(f"pk.{c} + u * (o.{c} - pk.{c})") for c in _FEATURES)},
-    pk.churn, true FROM pk JOIN near ON near.id = pk.customer_id AND near.slot = pk.slot JOIN mino o ON o.customer_id = near.other"""
+      AS BIGINT) AS slot, ('0x' || substr(md5('42u|' || customer_id || '|' || copy), 1, 8))::BIGINT / 4294967296e0 AS u FROM cp),
+  pool AS (SELECT customer_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATURES)}, churn, false AS is_synthetic FROM w
+  UNION ALL SELECT CAST(-((copy - 1) * small + rk) AS BIGINT), {", ".join(f"pk.{c} + u * (o.{c} - pk.{c})" for c in _FEATURES)},
+    pk.churn, true FROM pk JOIN near ON near.id = pk.customer_id AND near.slot = pk.slot JOIN mino o ON o.customer_id = near.other)"""
+_ROUNDED = f'SELECT customer_id, {", ".join(f"{r6(c)} AS {c}" for c in _FEATURES)}, churn, is_synthetic FROM pool'
 
 
-@query("smote", _SMOTE)
+@query("smote", f"{_SMOTE} {_ROUNDED}")
 def _(spark, sf):
     out = sp.smote(landed(spark, sf, ["customer_id", "churn", *_FEATURES]), "churn", "customer_id", _FEATURES)
     return out.withColumns({c: _r6(F.col(c)) for c in _FEATURES})
 
 
-@query("smote_tomek")
+_TOMEK = f"""{_SMOTE}, closest AS (SELECT a.customer_id AS id, a.churn AS la, b.churn AS lb, b.customer_id AS other, row_number() OVER (
+      PARTITION BY a.customer_id ORDER BY sqrt({" + ".join(f"(a.{c} - b.{c}) ** 2" for c in _FEATURES)}), b.customer_id) AS slot
+    FROM pool a JOIN pool b ON a.customer_id <> b.customer_id),
+  one AS (SELECT * FROM closest WHERE slot = 1),
+  ends AS (SELECT a.id FROM one a JOIN one b ON a.other = b.id AND b.other = a.id WHERE a.la <> a.lb)
+  {_ROUNDED} WHERE customer_id NOT IN (SELECT id FROM ends)"""
+
+
+@query("smote_tomek", _TOMEK)
 def _(spark, sf):
-    return sp.smote_tomek(landed(spark, sf, ["customer_id", "churn", *_FEATURES]), "churn", "customer_id", _FEATURES)
+    df = landed(spark, sf, ["customer_id", "churn", *_FEATURES])
+    return sp.smote_tomek(df, "churn", "customer_id", _FEATURES).withColumns({c: _r6(F.col(c)) for c in _FEATURES})

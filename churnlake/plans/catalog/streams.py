@@ -17,10 +17,11 @@ from ...streaming import flows as fl
 from ...streaming import windows as wn
 from ..bindings import table, view, wide
 from .base import query, r6
+from .modelling import NODE_FEATURES, NODE_SCORES_SQL, node_table_model
 from .modelling import table as feature_table
 from .monitoring import WINDOWED_SQL
 from .quality import _ERRORS_SQL
-from .shared import W_SQL
+from .shared import W_SQL, landed
 
 _CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 
@@ -173,6 +174,15 @@ def _(spark, sf):
     return scored.withColumn("confidence", _r6(F.col("confidence")))
 
 
+@query("stream_score_nodes", NODE_SCORES_SQL)
+def _(spark, sf):
+    """The node table scores a stream as it scores a table."""
+    df = landed(spark, sf, ["customer_id", "churn", *NODE_FEATURES])
+    path = scratch_path(spark, "unscored")
+    df.drop("churn").write.parquet(path)
+    stream = fl.score(fl.read_files(spark, path, df.drop("churn").schema), node_table_model(spark, df))
+    scored = fl.collect_stream(stream.select("customer_id", "prediction", "confidence"), "scored")
+    return scored.withColumn("confidence", _r6(F.col("confidence")))
 
 
 @query(

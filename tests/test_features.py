@@ -111,7 +111,7 @@ def test_quantiles_by_narrowing(spark, kind):
     extra = [(None,), (float("nan"),)]
     df = spark.createDataFrame([(float(v),) for v in values] + extra, "v double").repartition(5)
     probs = [0.1, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["v"], probs, bins=16)["v"]
+    got = exact_quantiles(df, ["v"], probs, accuracy=16)["v"]
     assert got == pytest.approx(list(np.quantile(values, probs)), rel=0, abs=1e-12)
     assert exact_quantiles(df, ["v"], probs)["v"] == pytest.approx(got, abs=1e-12)
 

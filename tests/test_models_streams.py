@@ -26,7 +26,7 @@ def data(spark):
 
 
 def test_grid_and_draws():
-    assert len(md.grid(md.FOREST_GRID)) == 8
+    assert len(md.grid(md.FOREST_GRID)) == 16
     points = md.draws(md.BOOST_SPACE, 10)
     assert len(points) == 10 and points == md.draws(md.BOOST_SPACE, 10)
     assert all(1e-5 <= p["stepSize"] <= 1e-2 for p in md.draws(md.NETWORK_SPACE, 5))

@@ -2,6 +2,7 @@
 
 import glob
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,23 +60,33 @@ def test_failed_commit_leaves_the_old_store(spark, monkeypatch):
     assert sorted((r["customer_id"], r["revenue"]) for r in old.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
 
 
-def test_quantiles_merge_no_value_maps(spark):
-    """The passes group by interval and bin; no exact percentile aggregate is planned."""
-    df = spark.range(1000).select((F.col("id") * 1.5).alias("a"))
-    seen = []
-    found = qt._counted
-
-    def counted(frame, intervals, bins):
-        seen.append(len(intervals))
-        return found(frame, intervals, bins)
-
-    qt._counted, held = counted, qt._counted
-    try:
-        assert qt.exact_quantiles(df, ["a"], [0.5, 0.25], bins=8) == {"a": [749.25, 374.625]}
-    finally:
-        qt._counted = held
-    assert seen and max(seen) <= 4
-    assert "percentile" not in open(qt.__file__, encoding="utf-8").read().lower()
+def test_quantiles_take_two_scans_without_unpivot(spark, monkeypatch):
+    """One sketch aggregate and one counting pass whatever the number of ranks; only values near a rank leave it."""
+    df = spark.range(200_000).select((F.hash("id") / 7.0).alias("a"), (F.hash("id") % 5).alias("b"), F.lit(2.5).alias("c")).repartition(6)
+    passes, found = [], qt._counted
+
+    def counted(frame, brackets):
+        rows = found(frame, brackets)
+        passes.append((plan(rows), rows.where("value is not null").agg(F.sum("n")).first()[0]))
+        return rows
+
+    monkeypatch.setattr(qt, "_counted", counted)
+    probabilities = [0.25, 0.5, 0.75]
+    got = qt.exact_quantiles(df, ["a"], probabilities)
+    assert got["a"] == pytest.approx(np.quantile([r[0] for r in df.select("a").collect()], probabilities), rel=1e-12)
+    assert len(passes) == 1 and "Expand" not in passes[0][0] and "Join" not in passes[0][0]
+    assert passes[0][1] <= 3 * 5 * 200_000 / qt.ACCURACY
+    assert qt.exact_quantiles(df, ["b", "c"], [0.5])["c"] == [2.5]
+    monkeypatch.setattr(qt, "COLLECTED", 0)  # ranks found by running totals
+    monkeypatch.setattr(qt, "HELD", 50)
+    assert qt.exact_quantiles(df, ["a"], probabilities) == got
+
+
+def test_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
+    """Counts prove each bracket; a rank outside its bracket is found by one more scan."""
+    df = spark.range(5000).select(F.col("id").cast("double").alias("a"))
+    monkeypatch.setattr(qt, "_sketched", lambda *_: ({"a": 5000}, {"a": [(10.0, 12.0), (4000.0, 4100.0)]}))
+    assert qt.exact_quantiles(df, ["a"], [0.0, 0.5, 0.81, 1.0]) == {"a": [0.0, 2499.5, pytest.approx(4049.19), 4999.0]}
 
 
 def test_apply_plans_no_join(spark):
