@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from churnlake.operators import neighbors as nb
 from churnlake.operators import sampling as sp
 from churnlake.operators.neighbors import knn
 
@@ -138,3 +139,26 @@ def test_smote_tomek_leaves_no_link(spark):
     out = sp.smote_tomek(_imbalanced(spark), "y", "id", ["a", "b"])
     assert 0 < out.count() <= 800
     assert out.groupBy("y").count().count() == 2
+
+
+@pytest.mark.parametrize("shape", ["spread", "copies"])
+def test_cells_stay_bounded_at_many_times_the_rows(spark, shape, monkeypatch):
+    """Cells divide level by level; only cells of equal points may be larger.  Neighbours stay exact."""
+    for name, value in (("CELL_ROWS", 16), ("CELL_LIMIT", 2), ("FAN", 6)):
+        monkeypatch.setattr(nb, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 100, size=(900, 2))
+    if shape == "copies":
+        x[:300] = [1.0, 2.0]  # a third of all points
+        x[300:400] = np.round(x[300:400])
+    data = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    right = spark.createDataFrame(data, "id bigint, v array<double>").repartition(3)
+    tree = nb._Tree(nb._points(right, "id", "v"), None, 3, 64, 42)
+    sizes = tree.leaves.groupBy("cell").agg(F.count_if(F.col("d") > 0).alias("apart")).toPandas()["apart"]
+    assert len(tree.levels) >= 3 and tree.leaves.count() == 900 and sizes.max() <= 32
+    assert tree.routes(tree.leaves).count() < len(sizes) ** 2 / 2  # most of the tree is left out
+    left = spark.createDataFrame([(5000 + i, [float(v) for v in p]) for i, p in enumerate(rng.uniform(-20, 120, size=(60, 2)))], right.schema)
+    both = left.unionByName(right.where("id % 23 = 0"))
+    got = knn(both, right, "id", "v", 3, exclude_self=True, block=64).collect()
+    points = [(r["id"], r["v"]) for r in both.collect()]
+    assert sorted((r["left_id"], r["right_id"], round(r["distance"], 9), r["rank"]) for r in got) == _brute(points, data, 3, True)
