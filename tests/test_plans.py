@@ -13,6 +13,7 @@ from churnlake.operators import quantiles as qt
 from churnlake.operators.quantiles import value_counts
 from churnlake.plans import preprocess as pp
 from churnlake.session import scratch_path, stage
+from churnlake.sources import commits as cm
 from churnlake.sources import tables as tb
 
 
@@ -109,6 +110,78 @@ def test_store_insert_and_delete(spark):
     assert sorted(r["customer_id"] for r in tb.read_store(spark, root, store.schema).collect()) == [1, 4]
 
 
+def test_of_two_writers_one_wins_and_both_changes_count(spark, monkeypatch):
+    """A second writer commits while the first works; the first finds its number taken and starts again."""
+    root = scratch_path(spark, "store")
+    store = _store(spark, [(1, "2024-01-01", "A", 1, 1.0, 0), (2, "2024-01-02", "B", 2, 1.0, 0)])
+    tb.create_store(store, root)
+    with pytest.raises(ValueError, match="there is a store"):
+        tb.create_store(store, root)
+    lost, commit = [], tb._commit
+
+    def slow(spark, root, number, added, removed):
+        if not lost:
+            lost.append(number)
+            other = _store(spark, [(1, "2024-01-01", "A", 9, 5.0, 1), (7, "2024-01-07", "C", 9, 5.0, 1)])
+            with monkeypatch.context() as m:
+                m.setattr(tb, "_commit", commit)
+                tb.upsert_store(spark, root, store.schema, other, ["revenue"])
+            assert not commit(spark, root, number, added, removed)
+            return False
+        return commit(spark, root, number, added, removed)
+
+    monkeypatch.setattr(tb, "_commit", slow)
+    incoming = _store(spark, [(1, "2024-01-01", "A", 9, 8.0, 1), (2, "2024-01-02", "B", 9, 8.0, 1)])
+    tb.upsert_store(spark, root, store.schema, incoming, ["churn"])
+    got = sorted((r["customer_id"], r["revenue"], r["churn"]) for r in tb.read_store(spark, root, store.schema).collect())
+    assert got == [(1, 5.0, 1), (2, 1.0, 1), (7, 5.0, 1)]
+    assert cm.state(spark, root).number == 2
+    monkeypatch.setattr(tb, "_commit", lambda *_: False)
+    with pytest.raises(tb.ConcurrentChange):
+        tb.upsert_store(spark, root, store.schema, incoming, ["churn"])
+
+
+def test_only_one_of_many_creates_a_file(spark):
+    from multiprocessing.pool import ThreadPool
+
+    root = scratch_path(spark, "log")
+    with ThreadPool(8) as pool:
+        won = pool.map(lambda i: cm.put_if_absent(spark, f"{root}/00.json", f"writer {i}"), range(8))
+    text = open(f"{root}/00.json", encoding="utf-8").read()
+    assert sum(won) == 1 and text == f"writer {won.index(True)}" and not glob.glob(f"{root}/*.draft")
+
+
+def test_readers_load_a_snapshot_and_the_changes_after_it(spark, monkeypatch):
+    monkeypatch.setattr(cm, "SNAPSHOT_EVERY", 3)
+    root = scratch_path(spark, "store")
+    store = _store(spark, [(i, f"2024-01-{i:02d}", "ABC"[i % 3], i, 1.0, 0) for i in range(1, 10)])
+    tb.create_store(store, root)
+    for n in range(5):
+        tb.upsert_store(spark, root, store.schema, _store(spark, [(3, "2024-01-03", "A", 9, float(n), 1)]), ["revenue"])
+    assert sorted(glob.glob(f"{root}/log/*.snapshot")) == [f"{root}/log/{3:020d}.snapshot"]
+    now = cm.state(spark, root)
+    files = {f.split("/log/")[1].split("/")[0] for f in now.pairs.inputFiles()}
+    assert now.number == 5 and len(files) == 3  # the snapshot, commits 4 and 5
+    assert now.pairs.count() == 3
+    rows = {r["customer_id"]: r["revenue"] for r in tb.read_store(spark, root, store.schema).collect()}
+    assert rows == {i: 1.0 for i in range(1, 10)} | {3: 4.0}
+
+
+def test_cleaning_removes_what_no_commit_names(spark):
+    root = scratch_path(spark, "store")
+    store = _store(spark, [(1, "2024-01-01", "A/x", 1, 1.0, 0), (2, "2024-01-02", "B", 2, 1.0, 0), (3, "2024-01-03", None, 3, 1.0, 0)])
+    tb.create_store(store, root)
+    incoming = _store(spark, [(1, "2024-01-01", "A/x", 9, 7.0, 1), (3, "2024-01-03", None, 9, 7.0, 1)])
+    tb.upsert_store(spark, root, store.schema, incoming, ["revenue"])
+    tb._write(_store(spark, [(9, "2024-01-09", "B", 9, 9.0, 0)]), root)  # a writer that never committed
+    before = sorted((r["customer_id"], r["revenue"]) for r in tb.read_store(spark, root, store.schema).collect())
+    assert len(glob.glob(f"{root}/data/*/*")) == 6
+    assert tb.clean_store(spark, root, older_than=3600) == 0
+    assert tb.clean_store(spark, root, older_than=0) == 3
+    assert len(glob.glob(f"{root}/data/*/*")) == 3
+    assert sorted((r["customer_id"], r["revenue"]) for r in tb.read_store(spark, root, store.schema).collect()) == before
+
+
 def test_batch_lookup_prunes_partitions_and_columns(spark):
     root = scratch_path(spark, "store")
     store = _store(spark, [(1, "2024-01-01", "A", 1, 1.0, 0)])
