@@ -2,8 +2,9 @@
 
 A text's features are the distinct hashes of its words, neighbouring pairs and pairs with one word between,
 lower-cased in ASCII and without marks at the ends.  Features are made in parallel; a bounded labelled sample of
-them then streams through one learner, with a learning rate per coordinate and L1 sparsity, so that only features
-seen in many documents keep a weight: a short list that goes to all tasks.
+them then streams through one learner in the order of its rows' hashes, whatever files they come from, with a learning
+rate per coordinate and L1 sparsity, so that only features seen in many documents keep a weight: a short list that goes
+to all tasks.
 """
 
 from __future__ import annotations
@@ -81,15 +82,17 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> tup
     """Features and their weights, ascending; feature ``2 ** BITS`` is the intercept.
 
     ``labelled`` (``doc_id, y``) is cut to ``max_train`` rows by hash, which bounds the broadcast that selects their
-    texts and the learner's time; its memory is one Arrow batch and the ``2 ** BITS`` coordinates.
+    texts and the learner's time; its memory is one Arrow batch and the ``2 ** BITS`` coordinates.  The learner meets the
+    rows of each epoch in the order of a hash of id and features; rows equal in both are the same to it.
     """
     chosen = bounded_sample(labelled, max_train).select("doc_id", "y")
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def make(batch: list[bytes]) -> dict:
         return {"idx": pa.array(hashed_features(batch), pa.list_(pa.int32()))}
 
-    rows = stage(over_texts(texts, make, "y double, idx array<int>", ("y",)), "features")
+    made = over_texts(texts, make, "doc_id bigint, y double, idx array<int>", ("doc_id", "y"))
+    rows = stage(made.select(F.xxhash64("doc_id", "y", "idx").alias("place"), "doc_id", "y", "idx"), "features")
 
     def train(batches):
         model, bias = Ftrl((1 << BITS) + 1), 1 << BITS
@@ -102,10 +105,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> tup
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["feature", "weight"])
 
-    epochs = rows
-    for _ in range(EPOCHS - 1):
-        epochs = epochs.unionAll(rows)
-    found = sorted(epochs.coalesce(1).mapInArrow(train, "feature bigint, weight double").collect())
+    epochs = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    ordered = epochs.repartition(1).sortWithinPartitions("epoch", "place", "doc_id").select("y", "idx")
+    found = sorted(ordered.mapInArrow(train, "feature bigint, weight double").collect())
     return np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=float)
 
 

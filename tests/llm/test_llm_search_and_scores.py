@@ -123,6 +123,41 @@ def test_classifier_on_held_out_labels(spark, labels, make, column, folds, held,
     assert sum(picked) / len(picked) > 0.98
 
 
+def test_toxicity_does_not_depend_on_files_and_equals_a_plain_learner(spark):
+    """The same rows in one, three or seven partitions give equal scores, those of a learner written out plainly."""
+    docs = read_table(spark, DATA, "documents").select("doc_id", "text").cache()
+    labels = read_table(spark, DATA, "labels")
+    scores = [
+        {r["doc_id"]: r["score"] for r in toxicity.score(docs.repartition(n, F.hash("text")), labels.repartition(n)).collect()}
+        for n in (1, 3, 7)
+    ]
+    assert scores[0] == scores[1] == scores[2]
+    given = {r["doc_id"]: float(r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    features = dict(zip(texts, toxicity.hashed_features(list(texts.values()))))
+    learned = [(i, y, features[i].tolist()) for i, y in given.items() if i in texts]
+    rows = spark.createDataFrame(learned, "doc_id bigint, y double, idx array<int>")
+    order = [(r["y"], r["idx"]) for r in rows.orderBy(F.xxhash64("doc_id", "y", "idx")).collect()]
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        rate = (toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA + toxicity.L2
+        return (math.copysign(toxicity.L1, z[f]) - z[f]) / rate
+
+    def margin(idx):
+        return max(-30.0, min(30.0, sum(weight(f) for f in [*idx, -1])))
+
+    for y, idx in order * toxicity.EPOCHS:
+        g = 1 / (1 + math.exp(-margin(idx))) - y
+        for f, w in [(f, weight(f)) for f in [*idx, -1]]:
+            z[f] = z.get(f, 0.0) + g - (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA * w
+            n[f] = n.get(f, 0.0) + g * g
+    for i in list(texts)[::7]:
+        assert scores[0][i] == pytest.approx(1 / (1 + math.exp(-margin(features[i].tolist()))), abs=1e-6)
+
+
 @pytest.mark.parametrize("make, column", [(quality.score, "quality"), (toxicity.score, "toxic")])
 def test_classifier_on_odd_rows(spark, make, column):
     rows = [(i, f"some text {i % 7} of words", "x") for i in range(80)] + [(900, None, "x"), (901, "", "x"), (None, "text", "x"), (3, "again", "x")]
