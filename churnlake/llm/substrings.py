@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import broadcast_if_small
+from ..operators.ranking import broadcast_if_small, small_side
 from ..session import stage
 from .scan import id_and_text, mixed, over_texts, scan_texts, word_spans
 
@@ -108,7 +108,10 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndar
 
 
 class _Packed:
-    """Collects ``(name, document, place)`` of a task's texts and packs them into rows by bucket."""
+    """Collects ``(name, document, place)`` of a task's texts and packs them into rows by bucket.
+
+    A place is the number of a word; its upper half tells apart the texts of an id that has several.
+    """
 
     SCHEMA = "bucket int, names binary, docs binary, places binary"
 
@@ -134,7 +137,7 @@ class _Packed:
         edges = np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], dtype=np.uint64)
         cuts = np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
         full = np.flatnonzero(np.diff(cuts))
-        columns = [[c[cuts[b] : cuts[b + 1]].tobytes() for b in full] for c in (names, docs, places.astype("<i4"))]
+        columns = [[c[cuts[b] : cuts[b + 1]].tobytes() for b in full] for c in (names, docs, places.astype("<i8"))]
         return pa.RecordBatch.from_arrays(
             [pa.array(full.astype("i4")), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "names", "docs", "places"]
         )
@@ -144,14 +147,14 @@ class _Packed:
         """A row without names: entries already known to repeat."""
         return pa.RecordBatch.from_arrays(
             [pa.array([-1 - int(docs[0]) % (1 << 20)], pa.int32()), pa.array([b""], pa.binary()),
-             pa.array([docs.tobytes()], pa.binary()), pa.array([places.astype("<i4").tobytes()], pa.binary())],
+             pa.array([docs.tobytes()], pa.binary()), pa.array([places.astype("<i8").tobytes()], pa.binary())],
             ["bucket", "names", "docs", "places"],
         )
 
 
 def _read(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(
-        np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("names", "<u8"), ("docs", "<i8"), ("places", "<i4"))
+        np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("names", "<u8"), ("docs", "<i8"), ("places", "<i8"))
     )
 
 
@@ -173,11 +176,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Reco
         yield rest[0].column("bucket")[0].as_py(), pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
-_PLACES = "doc_id bigint, place int"
+_PLACES = "doc_id bigint, kind int, place int"
 
 
 def _place_rows(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places.astype("i4"))], ["doc_id", "place"])
+    kind, place = (pa.array(p.astype("i4")) for p in (places >> 32, places & 0x7FFFFFFF))
+    return pa.RecordBatch.from_arrays([pa.array(docs), kind, place], ["doc_id", "kind", "place"])
 
 
 def _gathered(packed: DataFrame, buckets: int, judge) -> DataFrame:
@@ -231,12 +235,12 @@ def _marked(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             yield held.rows(names[send], docs[send], places[send])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, kinds = batch.column("doc_id").to_numpy(), batch.column("kind").to_numpy().astype(np.int64) << 32
             for at, _, _, _, names, firsts in scan_texts(batch.column("text").cast(pa.binary()).to_pylist()):
                 _, reps, keys = representatives(names, firsts, window)
                 reps = np.unique(reps)
                 doc = np.searchsorted(firsts, reps, side="right") - 1
-                held.add(keys[reps], ids[at + doc], reps - firsts[doc], 8 * len(names))
+                held.add(keys[reps], ids[at + doc], reps - firsts[doc] + kinds[at + doc], 8 * len(names))
                 if held.size >= GROUP_BYTES:
                     yield from flush()
         if held.parts:
@@ -260,6 +264,7 @@ def _repeated(texts: DataFrame, window: int, buckets: int) -> DataFrame:
 
         for batch in batches:
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("places")
+            kinds = batch.column("kind").to_numpy().astype(np.int64) << 32
             for at, _, _, _, names, firsts in scan_texts(batch.column("text").cast(pa.binary()).to_pylist()):
                 starts, reps, _ = representatives(names, firsts, window)
                 some = marks.slice(at, len(firsts) - 1)
@@ -268,7 +273,7 @@ def _repeated(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 marked[some.flatten().to_numpy() + offset] = True
                 starts = starts[marked[reps]]
                 doc = np.searchsorted(firsts, starts, side="right") - 1
-                held.add(_windows(names, window)[starts], ids[at + doc], starts - firsts[doc], 8 * len(names))
+                held.add(_windows(names, window)[starts], ids[at + doc], starts - firsts[doc] + kinds[at + doc], 8 * len(names))
                 if held.size >= GROUP_BYTES:
                     yield from flush()
         if held.parts:
@@ -319,9 +324,22 @@ def kept_words(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
 def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
     """The texts that have places, with all of them; a text is shuffled only if it has any, where that can be told
     from a set of ids small enough to send to all tasks."""
-    lists = stage(places.groupBy("doc_id").agg(F.array_distinct(F.collect_list("place")).alias("places")), "places")
-    some = texts.join(broadcast_if_small(lists.select("doc_id")), "doc_id", "left_semi")
-    return some.join(lists.hint("merge"), "doc_id")
+    lists = stage(places.groupBy(*TEXT).agg(F.array_distinct(F.collect_list("place")).alias("places")), "places")
+    some = texts.join(broadcast_if_small(lists.select(*TEXT)), TEXT, "left_semi")
+    return some.join(lists.hint("merge"), TEXT)
+
+
+TEXT = ["doc_id", "kind"]  # what a text is known by
+
+
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """Add ``kind``: 0, or for ids with several different texts 31 bits of a hash of the text."""
+    h = F.xxhash64("text")
+    several = texts.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
+    known = small_side(several.select("doc_id", F.lit(True).alias("several")), "several")
+    return texts.join(known, "doc_id", "left").select(
+        "doc_id", F.when(F.col("several"), h.bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(0).cast("int").alias("kind"), "text"
+    )
 
 
 def remove_repeats(
@@ -331,23 +349,25 @@ def remove_repeats(
     window of ``window`` words which also starts in a document with a smaller id.
 
     Words are runs without blanks, unchanged; windows are judged on the input.  ``with_text`` adds the kept words
-    joined by one space.  Null, empty and blank texts have no words.  Repeated rows are one document.  A row without
-    an id is neither judged nor a source.  An empty table gives no rows.  Windows are compared by 64-bit names.
+    joined by one space.  Null, empty and blank texts have no words.  Repeated rows are one document.  Different texts
+    of one id are judged each on its own, and none of them by another, since their ids are equal.  A row without an id is
+    neither judged nor a source.  An empty table gives no rows.  Windows are compared by 64-bit names, different texts of
+    one id by 31 bits.  Texts may be of any length; columns beside id and text are never looked at.
     ``window`` is at least 11, so that four interior places can represent it, and at most 256.
     """
     if not 11 <= window <= len(_PLACE):
         raise ValueError("window must be from 11 to 256 words")
-    texts = id_and_text(docs, id_col, text_col)
+    texts = _told_apart(id_and_text(docs, id_col, text_col))
     named = texts.where("doc_id is not null")
-    whole = stage(over_texts(texts, _whole, "doc_id bigint, n_words bigint, kept_sha256 string"), "whole")
+    whole = stage(over_texts(texts, _whole, "doc_id bigint, kind int, n_words bigint, kept_sha256 string", tuple(TEXT)), "whole")
     words = whole.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // (3 * BUCKET) + 1)
     marked = stage(_with_places(named, _marked(named, window, buckets)), "marked")
-    cuts = stage(_with_places(marked.select("doc_id", "text"), _repeated(marked, window, buckets)), "repeats")
+    cuts = stage(_with_places(marked.select(*TEXT, "text"), _repeated(marked, window, buckets)), "repeats")
     cut = kept_words(cuts, window, with_text)
-    same = whole.join(cuts.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("n_removed", F.lit(0).cast("bigint"))
+    same = whole.join(cuts.select(*TEXT).distinct(), TEXT, "left_anti").withColumn("n_removed", F.lit(0).cast("bigint"))
     if with_text:
         plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-        words_of = named.dropDuplicates(["doc_id"]).select("doc_id", plain.alias("kept_text"))
-        same = same.join(words_of, "doc_id", "left").withColumn("kept_text", F.coalesce("kept_text", F.lit("")))
+        words_of = named.dropDuplicates(TEXT).select(*TEXT, plain.alias("kept_text"))
+        same = same.join(words_of, TEXT, "left").withColumn("kept_text", F.coalesce("kept_text", F.lit("")))
     return cut.unionByName(same.select(*cut.columns))

@@ -134,6 +134,17 @@ def test_missing_ids_and_repeated_rows(spark):
     ]
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is judged on its own, and none by another of the same id."""
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(4, long), (4, "short"), (4, "x " + long + " y z"), (4, "short"), (6, "a b c"), (6, long + " end"), (6, None), (9, "a b c")]
+    got = substrings.remove_repeats(frame(spark, rows), with_text=True).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(
+        [(4, 20, 0, long), (4, 1, 0, "short"), (4, 1, 0, "short"), (4, 23, 0, "x " + long + " y z"), (6, 3, 0, "a b c"),
+         (6, 21, 20, "end"), (6, 0, 0, ""), (9, 3, 0, "a b c")]
+    )
+
+
 @pytest.mark.parametrize("seed, window", [(11, 13), (12, 13), (13, 11), (14, 20)])
 def test_remove_repeats(spark, seed, window):
     rows = odd_rows(seed)
