@@ -122,16 +122,31 @@ NON_NEGATIVE = [
 BINARY = [c for c in CATEGORICAL if c != "retcalls"]
 
 
+# The declared column contract.  Floats without nulls, floats, integer flags.
+CONTRACT_REQUIRED = [
+    "revenue", "mou", "recchrge", "months", "uniqsubs", "actvsubs", "phones",
+]
+CONTRACT_FLOATS = [
+    "directas", "roam", "changem", "changer", "dropvce", "blckvce", "unansvce", "custcare", "threeway", "mourec",
+    "peakvce", "opeakvce", "dropblk", "callfwdv", "callwait", "models", "eqpdays", "age1", "age2", "refer",
+    "income", "setprc", "engagement_index", "model_change_rate", "overage_ratio", "call_activity_score",
+    "call_quality_issues", "cust_engagement_score", "overuse_behavior", "device_tenure_index", "demographic_index",
+    "socio_tier", "occupation_class", "household_lifestyle_score", "churn_change_score",
+]
+CONTRACT_FLAGS = [
+    "children", "credita", "creditaa", "prizmrur", "prizmub", "prizmtwn", "refurb", "webcap", "truck", "rv",
+    "occprof", "occcler", "occcrft", "occstud", "occhmkr", "occret", "occself", "ownrent", "marryun", "marryyes",
+    "mailord", "mailres", "mailflag", "travel", "pcown", "creditcd", "newcelly", "newcelln", "incmiss", "mcycle",
+    "setprcm", "retcall", "retcalls", "retaccpt",
+]
+
+
 def column_contract() -> dict[str, dict]:
-    """The declared column contract: type, null policy and allowed values per column.
-
-    Numbers are floats and flags are integers; nulls are allowed except in the listed columns.
-    """
-    required = {"revenue", "mou", "recchrge", "months", "uniqsubs", "actvsubs", "phones"}
-    undeclared = {"overage", "outcalls", "incalls"}
-    contract = {c: {"dtype": "float", "allow_null": c not in required} for c in NUMERIC if c not in undeclared}
-    contract.update({c: {"dtype": "float", "allow_null": True} for c in DERIVED})
-    contract.update({c: {"dtype": "int", "allow_null": True} for c in CATEGORICAL})
+    """The declared column contract: type, null policy and allowed values per column."""
+    kinds = {c: {"dtype": "float", "allow_null": False} for c in CONTRACT_REQUIRED}
+    kinds |= {c: {"dtype": "float", "allow_null": True} for c in CONTRACT_FLOATS}
+    contract = {c: kinds[c] for c in [*NUMERIC, *DERIVED] if c in kinds}  # in the order of the columns
+    contract.update({c: {"dtype": "int", "allow_null": True} for c in CONTRACT_FLAGS})
     contract[TARGET] = {"dtype": "int", "allow_null": False, "allowed_values": [0, 1]}
     return contract
 

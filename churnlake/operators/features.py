@@ -22,6 +22,7 @@ from .ranking import measured, running_totals
 # Encoders up to this many classes travel inside the plan; larger ones are joined as a table.
 INLINE_CLASSES = 10_000
 INLINE_BYTES = 8 * 1024 * 1024
+HEAVY = 1 / 256  # share of the rows that makes a value of a wide column heavy
 _SHORT_LIST = 48
 
 PARAMS_SCHEMA = T.StructType(
@@ -219,8 +220,14 @@ def fit_labels(df: DataFrame, columns: Sequence[str], inline: int = INLINE_CLASS
     if rows <= inline and size <= INLINE_BYTES:
         found = distinct.collect()
         return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
-    ranked = running_totals(distinct.withColumn("one", F.lit(1)), ["column"], ["value"], {"place": "one"})
-    return stage(ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code")), "classes")
+    return _coded_classes(distinct)
+
+
+def _coded_classes(counted: DataFrame) -> DataFrame:
+    """``column, value, code, share``: the rank of each value in its column, and its share of the column's rows."""
+    ranked = running_totals(counted.withColumn("one", F.lit(1)), ["column"], ["value"], {"place": "one"}, {"rows": "n"})
+    code = (F.col("place") - 1).cast("int").alias("code")
+    return stage(ranked.select("column", "value", code, (F.col("n") / F.col("rows")).alias("share")), "classes")
 
 
 def fit_encoders(
@@ -239,33 +246,44 @@ def fit_encoders(
     wide = distinct.where(~F.col("column").isin(*few)) if few else distinct
     if wide.isEmpty():
         return {c: sorted(v) for c, v in lists.items()}, None
-    ranked = running_totals(wide.withColumn("one", F.lit(1)), ["column"], ["value"], {"place": "one"})
-    table = stage(ranked.select("column", "value", (F.col("place") - 1).cast("int").alias("code")), "classes")
-    return {c: sorted(lists[c]) for c in few}, table
+    return {c: sorted(lists[c]) for c in few}, _coded_classes(wide)
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, n`` of the values in each column as text; equal values meet in the tasks first."""
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot([], list(columns), "column", "value")
-    return long.where(F.col("value").isNotNull()).distinct()
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encode_labels(
     df: DataFrame, classes: Mapping[str, Sequence[str]] | DataFrame, columns: Sequence[str] | None = None, bounded: bool = False
 ):
-    """Replace each value by its class index; values without a class are -1.  No job runs.
+    """Replace each value by its class index; values without a class are -1.  Lists of classes run no job.
 
     A table of classes is joined column by column, and sent to all tasks only if ``bounded`` says that its columns
-    come from lists; otherwise Spark's own size estimates decide.
+    come from lists; otherwise Spark's own size estimates decide.  Where the table tells shares, values with a share of
+    ``HEAVY`` or more, at most one in ``HEAVY`` of them, are read first and coded in place.  Their rows and those without
+    a value need no partner, so they are dealt over all tasks.
     """
     if isinstance(classes, DataFrame):
         wanted = [c for c in (columns or df.columns) if c in df.columns]
+        heavy: dict[str, dict[str, int]] = {c: {} for c in wanted}
+        if "share" in classes.columns:
+            for r in classes.where((F.col("share") >= HEAVY) & F.col("column").isin(wanted)).collect():
+                heavy[r["column"]][r["value"]] = r["code"]
         for c in wanted:
+            value, known = F.col(c).cast("string"), heavy[c]
             codes = classes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+            settled = value.isNull() | value.isin(list(known)) if known else value.isNull()
+            # No class begins with a zero character and the hash of a row.
+            alone = F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
+            in_place = F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), value) if known else F.lit(None)
             df = (
-                df.join(F.broadcast(codes) if bounded else codes, F.col(c).cast("string") == F.col("_v"), "left")
-                .withColumn(c, F.coalesce("_code", F.lit(-1)))
-                .drop("_v", "_code")
+                df.withColumn("_key", value if bounded else F.when(settled, alone).otherwise(value))
+                .join(F.broadcast(codes) if bounded else codes, F.col("_key") == F.col("_v"), "left")
+                .withColumn(c, F.coalesce(in_place.cast("int"), "_code", F.lit(-1)))
+                .drop("_v", "_code", "_key")
             )
         return df
     wanted = [c for c in classes if c in df.columns and (columns is None or c in columns)]

@@ -8,9 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .networks import Network
 from .trees import Ensemble
 
-TREES = ".trees"  # ends the path of an ensemble kept as a node table
+KEPT_AS = {".trees": Ensemble, ".network": Network}  # ends of the paths of models kept as tables
 
 REGISTRY_SCHEMA = (
     "model_type string, version string, path string, metrics map<string,double>, threshold double, created_at timestamp"
@@ -39,7 +40,7 @@ def training_schema_record(
 
 
 def register_model(
-    model: PipelineModel | Ensemble,
+    model: PipelineModel | Ensemble | Network,
     root: str,
     model_type: str,
     version: str,
@@ -48,7 +49,7 @@ def register_model(
     threshold: float = 0.5,
 ) -> str:
     """Save a model under a new version and append its registry row, with the decision threshold fitted for it."""
-    path = f"{root}/models/{model_type}/{version}" + TREES * isinstance(model, Ensemble)
+    path = f"{root}/models/{model_type}/{version}" + "".join(end for end, kind in KEPT_AS.items() if isinstance(model, kind))
     model.save(path)
     values = {k: float(v) for k, v in metrics.items() if v is not None}
     row = spark.createDataFrame(
@@ -80,15 +81,16 @@ def list_models(models: DataFrame) -> DataFrame:
     )
 
 
-def load_latest(spark: SparkSession, root: str, model_type: str) -> PipelineModel | Ensemble:
+def load_latest(spark: SparkSession, root: str, model_type: str) -> PipelineModel | Ensemble | Network:
     return load_scorer(spark, root, model_type)[0]
 
 
-def load_scorer(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel | Ensemble, float]:
+def load_scorer(spark: SparkSession, root: str, model_type: str) -> tuple[PipelineModel | Ensemble | Network, float]:
     """The newest model of a type and its decision threshold."""
     row = latest_models(registry(spark, root)).where(F.col("model_type") == model_type).first()
     if row is None:
         raise LookupError(f"no registered model of type {model_type}")
     path = row["path"]
-    model = Ensemble.load(spark, path) if path.endswith(TREES) else PipelineModel.load(path)
+    own = [kind for end, kind in KEPT_AS.items() if path.endswith(end)]
+    model = own[0].load(spark, path) if own else PipelineModel.load(path)
     return model, 0.5 if row["threshold"] is None else row["threshold"]

@@ -28,6 +28,37 @@ def _(spark, sf):
     return rd.read_csv(spark, path, df.schema, sep=";")
 
 
+@query(
+    "scan_configured",
+    """SELECT type, count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers, min(o_orderpriority) AS first_priority,
+    max(o_orderdate) AS last_date FROM orders CROSS JOIN (SELECT unnest(['csv', 'json', 'orc', 'parquet', 'table']) AS type)
+    GROUP BY type""",
+)
+def _(spark, sf):
+    """The same orders through every kind of configured reader that needs no database."""
+    df = view(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    parts = []
+    for kind in ("csv", "json", "orc", "parquet", "table"):
+        path = scratch_path(spark, kind)
+        if kind == "csv":
+            df.write.option("sep", "|").option("header", True).csv(path)
+        elif kind != "table":
+            df.write.format(kind).save(path)
+        else:
+            df.createOrReplaceTempView("configured_orders")
+        config = {"type": kind, "path": path, "name": "configured_orders", "schema": df.schema, "delimiter": "|"}
+        parts.append(rd.read_configured(spark, config).withColumn("type", F.lit(kind)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("type").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("o_custkey").alias("customers"),
+        F.min("o_orderpriority").alias("first_priority"),
+        F.max("o_orderdate").alias("last_date"),
+    )
+
+
 @query(
     "scan_train_test",
     f"""{W_SQL} SELECT customer_id, revenue, months, CASE WHEN churn = 1 THEN churn END AS churn,

@@ -10,7 +10,7 @@ from ...operators import features as ft
 from ...session import stage
 from ..bindings import prelude, wide
 
-# The columns of the bound customer table, by role.
+# The columns of the bound customer table, by role.
 GAPS = ["revenue", "mou", "overage", "age2"]
 NUMBERS = [c for c in fields.NUMERIC]
 FLAGS = [
@@ -21,7 +21,7 @@ FLAGS = [
 TEXTS = ["segment", "prizm_cluster"]
 CATEGORIES = [*FLAGS, *TEXTS]
 
-# Oracle text of the derived features.
+# Oracle text of the derived features.
 FORMULA_SQL = {
     "engagement_index": "(outcalls + incalls) / (months + 1)",
     "model_change_rate": "models / (months + 1)",

@@ -154,3 +154,28 @@ def test_derived_null_propagates_per_row(spark):
     out = ft.derive(df, ["model_change_rate"]).select(F.col("model_change_rate").alias("x")).collect()
     assert out[0]["x"] == 0.1 and out[1]["x"] is None
     assert not math.isnan(out[0]["x"])
+
+
+def test_a_heavy_value_of_a_wide_column_makes_no_heavy_task(spark):
+    """Half of all rows hold one value and an eighth none: the join's tasks stay even, and codes equal the plain ones."""
+    n = 8000
+    rows = spark.range(n).select(
+        "id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 8 == 1, None).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("wide")
+    )
+    table = ft.fit_labels(rows, ["wide"], inline=10)
+    assert table.where("share >= 0.25").select("value").collect() == [("hot",)]
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        coded = ft.encode_labels(rows, table, ["wide"])
+        sizes = [r["n"] for r in coded.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        got = {r["id"]: r["wide"] for r in coded.collect()}
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+    values = {r["id"]: r["wide"] for r in rows.collect()}
+    order = {v: i for i, v in enumerate(sorted({v for v in values.values() if v is not None}))}
+    assert got == {i: order.get(v, -1) for i, v in values.items()}
