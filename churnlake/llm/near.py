@@ -136,11 +136,11 @@ def _leaves(classes: DataFrame, branch: float) -> DataFrame:
     """``node, class_id`` of nodes with at least two and at most about ``NODE`` classes.
 
     A node still larger at ``MAX_LEVEL`` holds classes that agree in all its coordinates.  It is dealt by hash into
-    parts of about ``NODE`` that all also hold its smallest class, which links them.
+    parts of about half of ``NODE``, and every two parts make a node, so that no two classes are kept apart.
     """
     paths, out = stage(_paths(classes, branch), "paths"), None
     for level in range(LEVELS, MAX_LEVEL + 1, LEVELS):
-        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class_id").alias("least"))
+        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
         held = stage(paths.join(sizes.where("size > 1"), "node"), "nodes")
         small = held.where(F.col("size") <= NODE).select("node", "class_id")
         out = small if out is None else out.unionByName(small)
@@ -149,11 +149,11 @@ def _leaves(classes: DataFrame, branch: float) -> DataFrame:
             return out
         if level < MAX_LEVEL:
             paths = stage(_deeper(large.join(classes, "class_id"), branch), "paths")
-    parts = F.ceil(F.col("size") / NODE).cast("int")
-    own = F.array(F.pmod(F.xxhash64("class_id"), parts).cast("int"))
-    part = F.explode(F.when(F.col("class_id") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
-    dealt = large.select("node", "class_id", part.alias("part"))
-    return out.unionByName(dealt.select(F.xxhash64("node", "part").alias("node"), "class_id"))
+    parts = (2 * F.ceil(F.col("size") / NODE)).cast("int")
+    own = large.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("class_id", "node"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> own")
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return out.unionByName(met.select(pair.alias("node"), "class_id"))
 
 
 def _by_node(batches):

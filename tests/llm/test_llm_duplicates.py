@@ -113,6 +113,20 @@ def test_equal_signatures_beyond_the_last_level(spark, monkeypatch):
     assert got == 40
 
 
+def test_a_dealt_node_keeps_no_link_apart(spark, monkeypatch):
+    """Pairs of near copies share most words with all others, not enough for a link; the smallest class has none."""
+    monkeypatch.setattr(near, "NODE", 4)
+    monkeypatch.setattr(near, "MAX_LEVEL", 4)
+    base = [f"o{k}" for k in range(160)]
+    rows = [(0, " ".join(base + [f"a{k}" for k in range(60)]))]
+    for i in range(1, 41):
+        own = [f"p{i}-{k}" for k in range(50)]
+        rows += [(10 * i, " ".join(base + own)), (10 * i + 1, " ".join(base + own[:-3] + [f"q{i}"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near.near_duplicates(frame(spark, rows), 1, 85).collect()}
+    want = brute.near(rows, 1, 85)
+    assert got == want and len({c for _, c, _ in want.values()}) == 41
+
+
 def test_components(spark):
     pairs = [(5, 3), (9, 5), (7, 9), (20, 21), (21, 22), (30, 31), (40, 30), (3, 5)]
     got = near.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
