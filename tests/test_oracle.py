@@ -31,3 +31,14 @@ def test_entry_contract(spark):
     out = entry.entry(spark)
     assert out.columns == ["segment", "customers", "churn_rate", "mean_engagement_index"]
     assert out.count() == 5
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import importlib.util
+    import os
+    import runpy
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
+    found = runpy.run_path(path)
+    assert set(found["queries"]()) == set(QUERIES) and found["oracle_sql"]() == ORACLES
