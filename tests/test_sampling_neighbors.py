@@ -162,3 +162,33 @@ def test_cells_stay_bounded_at_many_times_the_rows(spark, shape, monkeypatch):
     got = knn(both, right, "id", "v", 3, exclude_self=True, block=64).collect()
     points = [(r["id"], r["v"]) for r in both.collect()]
     assert sorted((r["left_id"], r["right_id"], round(r["distance"], 9), r["rank"]) for r in got) == _brute(points, data, 3, True)
+
+
+@pytest.mark.parametrize("sides,whole", [(2, False), (24, True)])
+def test_in_many_dimensions_large_blocks_are_compared(spark, sides, whole, monkeypatch):
+    """Where bounds leave out little, a row is copied once a large block and not once a cell."""
+    for name, value in (("CELL_ROWS", 16), ("CELL_LIMIT", 2), ("FAN", 12), ("STEP_ROWS", 50), ("STEP_COLUMNS", 40)):
+        monkeypatch.setattr(nb, name, value)
+    used, blocks = [], nb._all_blocks
+    monkeypatch.setattr(nb, "_all_blocks", lambda *given: used.append(given[2:]) or blocks(*given))
+    rng = np.random.default_rng(7)
+    far = 0 if whole else 100
+    data = [(i, [float(v) + far * (i % 10) for v in p]) for i, p in enumerate(rng.normal(size=(400, sides)))]
+    df = spark.createDataFrame(data, "id bigint, v array<double>").repartition(3)
+    got = knn(df, df, "id", "v", 3, exclude_self=True).collect()
+    assert sorted((r["left_id"], r["right_id"], round(r["distance"], 9), r["rank"]) for r in got) == _brute(data, data, 3, True)
+    assert used == ([(400, 400)] if whole else [])
+
+
+def test_equal_points_are_searched_for_once(spark, monkeypatch):
+    """Many copies of few points: the search sees each point once, and rows that repeat don't hide other neighbours."""
+    seen, searched = [], nb._searched
+    monkeypatch.setattr(nb, "_searched", lambda tree, different, rights, n: seen.append((different.count(), rights.count())) or searched(tree, different, rights, n))
+    data = [(i, [float(i % 5), 0.0]) for i in range(100)]
+    df = spark.createDataFrame(data, "id bigint, v array<double>")
+    got = knn(df, df, "id", "v", 2, exclude_self=True).collect()
+    assert sorted((r["left_id"], r["right_id"], round(r["distance"], 9), r["rank"]) for r in got) == _brute(data, data, 2, True)
+    assert seen == [(5, 15)]
+    twice = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (2, [1.0]), (3, [5.0])], "id bigint, v array<double>")
+    near = sorted((r["left_id"], r["right_id"]) for r in knn(twice, twice, "id", "v", 1, exclude_self=True).collect())
+    assert near == [(1, 2), (2, 1), (3, 2)]
