@@ -30,6 +30,7 @@ TREES = 12
 LEVELS = 4  # of a tree before its nodes are counted, and from one count to the next
 MAX_LEVEL = 24  # classes still together here agree in all those coordinates; see _leaves
 NODE = 1024  # classes compared exhaustively at once
+SET_ROWS = 500  # full sets handed on at once; they are as large as the texts
 SLACK = 4.0  # standard deviations of the signature's estimate below the threshold that still make a candidate
 
 _RNG = np.random.default_rng(61)
@@ -157,19 +158,31 @@ def _leaves(classes: DataFrame, branch: float) -> DataFrame:
 
 
 def _by_node(batches):
-    """Rows of one node after another, from batches sorted by node; a node may cross batches."""
+    """Rows of one node after another, from batches sorted by node; a node may cross batches.  Only such a node is
+    copied, so that a batch is given up with its last node."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
-        nodes = table.column("node").to_numpy()
-        cuts = np.flatnonzero(np.diff(nodes)) + 1
-        for a, b in zip(np.concatenate([[0], cuts[:-1]]) if len(cuts) else [], cuts):
-            yield table.slice(a, b - a)
-        rest = [table.slice(cuts[-1] if len(cuts) else 0)]
-    for table in rest:
-        yield table
+        nodes = batch.column("node").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if rest and rest[0].column("node")[0].as_py() != nodes[a]:
+                yield _one(rest)
+                rest = []
+            if b == len(nodes):
+                rest.append(batch.slice(a, b - a).take(pa.array(np.arange(b - a))))
+            elif rest:
+                yield _one([*rest, batch.slice(a, b - a)])
+                rest = []
+            else:
+                yield batch.slice(a, b - a)
+    if rest:
+        yield _one(rest)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _links(members: DataFrame, least: float, percent: int) -> DataFrame:
@@ -255,7 +268,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         return {"shingles": pa.array(lists, pa.list_(pa.int64()))}
 
     wanted = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
-    return over_texts(wanted, make, "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id"])
+    return over_texts(wanted, make, "doc_id bigint, shingles array<bigint>", rows=SET_ROWS).dropDuplicates(["doc_id"])
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -37,12 +37,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def over_texts(df: DataFrame, make: Callable[[list[bytes]], dict], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns made from each batch of UTF-8 texts after the kept ones; row order and number stay."""
+def over_texts(
+    df: DataFrame, make: Callable[[list[bytes]], dict], schema: str, keep: tuple[str, ...] = ("doc_id",), rows: int | None = None
+) -> DataFrame:
+    """Columns made from each batch of UTF-8 texts after the kept ones; row order and number stay.  ``rows`` cuts
+    batches whose results are large."""
     names = [part.split()[0] for part in schema.split(",")][len(keep) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or max(1, b.num_rows))):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             columns = make(texts)
             yield pa.RecordBatch.from_arrays(

@@ -4,9 +4,12 @@ import random
 
 import llm_brute as brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnlake.llm import exact, near, substrings
+from churnlake.llm.scan import over_texts
+from churnlake.session import stage
 
 DATA = "/root/testdata/sf0.001"
 EXTRA = "doc_id bigint, text string, kept string, place int, names string"
@@ -193,3 +196,32 @@ def test_empty_tables(spark):
     empty = frame(spark, [(1, "a")]).where("false")
     for made in (exact.exact_groups(empty), near.near_duplicates(empty), substrings.remove_repeats(empty)):
         assert made.collect() == []
+
+
+def test_rows_of_a_node_come_together_across_batches():
+    """Nodes that end, cross or fill batches; no batch stays in memory for a later one."""
+    nodes = np.repeat([1, 2, 3, 4, 5, 9], [3, 1, 9, 2, 1, 4])
+    whole = pa.record_batch({"node": pa.array(nodes), "shingles": pa.array([[i] * 1000 for i in range(len(nodes))])})
+    for width in (1, 2, 4, 7, 20):
+        parts = [whole.slice(a, width) for a in range(0, len(nodes), width)] + [whole.slice(0, 0)]
+        got = list(near._by_node(iter(parts)))
+        assert [set(g.column("node").to_pylist()) for g in got] == [{1}, {2}, {3}, {4}, {5}, {9}]
+        assert [s[0] for g in got for s in g.column("shingles").to_pylist()] == list(range(len(nodes)))
+
+    before = pa.total_allocated_bytes()
+
+    def fresh():
+        for a in range(200):
+            yield pa.record_batch({"node": pa.array([a * 10 + i // 10 for i in range(100)]), "shingles": pa.array([[a] * 1000] * 100)})
+
+    most = max(pa.total_allocated_bytes() - before for _ in near._by_node(fresh()))
+    assert most < 2_000_000  # a batch is 0.8 MB
+
+
+def test_full_sets_leave_in_small_batches(spark):
+    df = spark.createDataFrame([(i, f"a b c d{i}") for i in range(1300)], "doc_id bigint, text string").coalesce(1)
+    ids = stage(df.select("doc_id"), "ids")
+    sets = near._sets(df, ids, 3)
+    sizes = over_texts(df, lambda texts: {"n": pa.array([len(texts)] * len(texts), pa.int64())}, "doc_id bigint, n bigint", rows=500)
+    seen = {r["n"] for r in sizes.select("n").distinct().collect()}
+    assert seen == {500, 300} and sets.count() == 1300 and sets.where("size(shingles) = 2").count() == 1300
